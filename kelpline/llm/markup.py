@@ -25,7 +25,7 @@ HTML_NAMES = (
     "a abbr address article aside b blockquote body br button caption center cite code col colgroup dd del details dfn div dl dt em "
     "fieldset figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main "
     "mark math meta nav noscript nowiki object ol option p pre q ref references s samp script section select small source span strike strong "
-    "style sub summary sup svg table tbody td template textarea tfoot th thead time title tr tt u ul var video wbr"
+    "style sub summary syntaxhighlight gallery poem sup svg table tbody td template textarea tfoot th thead time title tr tt u ul var video wbr"
 )
 TAG = re.compile(r"</?(?:" + "|".join(HTML_NAMES.split()) + r")(?:\s+[^<>]*|/[^<>]*)?\s*/?>|<!DOCTYPE[^<>]*>|<\?xml[^<>]*\?>", re.I)
 COMMENT = re.compile(r"<!--.*?-->", re.S)
@@ -54,8 +54,9 @@ WIKI_HEAD = re.compile(r"^(={1,6})[ \t]*([^=\n]+?)[ \t]*\1[ \t]*$")
 WIKI_LINK = re.compile(r"\[\[(?![ \t])([^\[\]\n|]+(?:\n[^\[\]\n|]+)?)(?:\|([^\[\]\n|]*(?:\n[^\[\]\n|]+)?))*(?<![ \t])\]\]")
 WIKI_EXT = re.compile(r"(?<!\[)\[(?:https?|ftp)://[^\s\[\]]+[ \t]+([^\[\]\n]+)\]")
 WIKI_TEMPLATE = re.compile(r"\{\{(?!\{)(?:[^{}]*\|[^{}]*|[a-z][a-z -]*|[A-Z][A-Za-z ]+)\}\}")
+#: field names that stand for an unfilled placeholder when they fill a pair of brackets alone
+FIELD_NAMES = frozenset("amount name first_name last_name date title company city address email phone subject recipient owner version department price total street country number reference signature location".split())
 #: double braces without a bar are wiki templates only under one of these names; others are placeholders
-WIKI_NAMES = frozenset("stub citation needed cite clear reflist toc clarify fact main see also disambig disambiguation infobox portal refbegin refend unreferenced cleanup dubious dead link".split())
 WIKI_STUBS = frozenset(("stub", "citation needed", "cite", "clear", "reflist", "toc", "clarify", "fact", "disambig", "disambiguation", "unreferenced", "cleanup", "dubious", "dead link", "refbegin", "refend", "notoc"))
 WIKI_QUOTE = re.compile(r"(?<!')('{5}|'{3}|'{2})(?!')(?=\S)((?:(?!'').)+?)\1(?!')", re.S)
 WIKI_TABLE = re.compile(r"^(?:\{\||\|\}|\|-|\|\+)|^![^!\n]+!!")
@@ -231,7 +232,7 @@ def convert(text: str) -> tuple[str, list[str]]:
         s = ENTITY.sub(entity, s)
     if "[" in s or "{" in s or "'" in s or "_" in s:
         s = CATEGORY.sub(found("wiki", ""), s)
-        s = WIKI_LINK.sub(lambda m: found("wiki", lambda k: k[2] or k[1])(m) if not re.match(r"[-!]\w?\s|\$", m[1]) else m[0], s)
+        s = WIKI_LINK.sub(lambda m: found("wiki", lambda k: k[2] or k[1])(m) if not re.match(r"[-!]\w?\s|\$", m[1]) and (m[2] or m[1] not in FIELD_NAMES) else m[0], s)
         s = re.sub(r"(?ms)^\{\{(?:[A-Z][^{}|]*)\n?\|.*?\}\}[ \t]*$", found("wiki", ""), s)
         s = WIKI_TEMPLATE.sub(lambda m: found("wiki", "")(m) if _placeholder_free(m) else m[0], s)
         s = WIKI_EXT.sub(found("wiki", lambda m: m[1]), s)
