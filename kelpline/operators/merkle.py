@@ -3,8 +3,8 @@
 A *snapshot* is a set of ``(key, value)`` records, one per key.  Keys are spread by a 64-bit hash; a leaf
 of the tree is a range of that hash space, so a hot repository or directory never makes a hot leaf.  A
 leaf's digest is order-free (xor of two independent record hashes, and the count), which lets Spark
-combine it on the map side; an inner node's digest is a hash over its at most ``2**FANOUT_BITS`` ordered
-children.  ``changed_leaves`` walks from the root and opens a node only where the digests of both trees
+combine it on the map side; an inner node's digest is the xor of the digests of its ``2**FANOUT_BITS``
+children, each bound to its place.  ``changed_leaves`` walks from the root and opens a node only where the digests of both trees
 differ, and only the records of changed leaves are compared.
 
 :class:`MerkleStore` keeps the snapshot of the last successful run.  ``commit`` writes the run's output,
@@ -54,21 +54,13 @@ def tree(records: DataFrame, leaf_bits: int) -> DataFrame:
             F.bit_xor(F.xxhash64("value", "h", F.lit(7))).alias("b"),
             F.count(F.lit(1)).alias("n"),
         )
-        .select(F.lit(0).alias("level"), F.col("leaf").alias("node"), F.xxhash64("a", "b", "n").alias("digest"))
+        .select(F.col("leaf").alias("node"), F.xxhash64("a", "b", "n").alias("digest"))
     )
-    leaves = materialize(leaves, "merkle-leaves")
-    levels, child = [leaves], leaves
-    for level in range(1, leaf_bits // FANOUT_BITS):
-        child = (
-            child.groupBy(F.shiftrightunsigned("node", FANOUT_BITS).alias("parent"))
-            .agg(F.array_sort(F.collect_list(F.struct("node", "digest"))).alias("kids"))
-            .select(F.lit(level).alias("level"), F.col("parent").alias("node"), F.xxhash64("kids").alias("digest"))
-        )
-        levels.append(child)
-    out = levels[0]
-    for one in levels[1:]:
-        out = out.unionByName(one)
-    return out
+    # one pass for all levels: a node's digest is the xor of its children's, which are bound to their place
+    level = F.explode(F.sequence(F.lit(0), F.lit(leaf_bits // FANOUT_BITS - 1))).alias("level")
+    nodes = leaves.select("node", "digest", level).withColumn("place", F.xxhash64("node", "digest"))
+    nodes = nodes.withColumn("node", F.expr(f"shiftrightunsigned(node, level * {FANOUT_BITS})"))
+    return nodes.groupBy("level", "node").agg(F.bit_xor("place").alias("digest"))
 
 
 def changed_leaves(current: DataFrame, saved: DataFrame, leaf_bits: int) -> DataFrame:
@@ -90,8 +82,8 @@ def diff(current: DataFrame, saved: DataFrame, leaf_bits: int, current_tree: Dat
 
     Null keys form no record; a null value equals a null value.  Both sides hold one row per key.
     """
-    current_tree = tree(current, leaf_bits) if current_tree is None else current_tree
-    saved_tree = tree(saved, leaf_bits) if saved_tree is None else saved_tree
+    current_tree = materialize(tree(current, leaf_bits), "tree") if current_tree is None else current_tree
+    saved_tree = materialize(tree(saved, leaf_bits), "tree") if saved_tree is None else saved_tree
     leaves = changed_leaves(current_tree, saved_tree, leaf_bits)
     new = with_leaf(current, leaf_bits).join(leaves, "leaf", "left_semi").select("key", "value", F.lit(True).alias("in_new"))
     old = with_leaf(saved, leaf_bits).join(leaves, "leaf", "left_semi").select("key", F.col("value").alias("old_value"), F.lit(True).alias("in_old"))
