@@ -40,6 +40,10 @@ def glob_regex(pattern: str) -> str:
     return "".join(out) + "\\z"
 
 
+def _like(regex: str):
+    return lambda x: x.rlike(regex)
+
+
 def is_excluded(rel_path: Column, patterns: Iterable[str]) -> Column:
     """True if a pattern matches the relative path, one of its parts, or (``x/**``) one of its folders."""
     parts = F.split(rel_path, "/")
@@ -47,9 +51,9 @@ def is_excluded(rel_path: Column, patterns: Iterable[str]) -> Column:
     out = F.lit(False)
     for p in patterns:
         whole = glob_regex(p)
-        out = out | rel_path.rlike(whole) | F.exists(parts, lambda x, r=whole: x.rlike(r))
+        out = out | rel_path.rlike(whole) | F.exists(parts, _like(whole))
         if p.endswith("/**"):
-            out = out | F.exists(folders, lambda x, r=glob_regex(p[:-3]): x.rlike(r))
+            out = out | F.exists(folders, _like(glob_regex(p[:-3])))
     return out
 
 
