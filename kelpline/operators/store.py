@@ -1,6 +1,6 @@
 """Collections of points with named vectors, kept as tables of Parquet files with atomic snapshots.
 
-A collection is a folder with numbered snapshots; ``_CURRENT-<n>`` names the one that counts and is made
+A collection is a folder with numbered snapshots; ``CURRENT-<n>`` names the one that counts and is made
 without overwriting, so readers never see half a write.
 """
 
@@ -68,18 +68,18 @@ class Store:
         stream.close()
 
     def exists(self, name: str) -> bool:
-        return self._fs.exists(self._Path(f"{self._dir(name)}/_vectors.json"))
+        return self._fs.exists(self._Path(f"{self._dir(name)}/VECTORS.json"))
 
     def ensure(self, name: str, vectors: dict[str, int]) -> bool:
         """Create the collection if it is absent; was it created?"""
         if self.exists(name):
             return False
-        self._put(f"{self._dir(name)}/_vectors.json", json.dumps({k: {"size": v, "distance": "cosine"} for k, v in vectors.items()}))
+        self._put(f"{self._dir(name)}/VECTORS.json", json.dumps({k: {"size": v, "distance": "cosine"} for k, v in vectors.items()}))
         return True
 
     def vectors(self, name: str) -> dict[str, dict]:
         out: dict[str, dict] = {}
-        for n in sorted(x for x in self._names(self._dir(name)) if x.startswith("_vectors")):
+        for n in sorted(x for x in self._names(self._dir(name)) if x.startswith("VECTORS")):
             out |= json.loads(self.spark.read.text(f"{self._dir(name)}/{n}", wholetext=True).first()[0])
         return out
 
@@ -87,14 +87,14 @@ class Store:
         """A further named vector for an existing collection; False if it has it."""
         if vector in self.vectors(name):
             return False
-        self._put(f"{self._dir(name)}/_vectors-{uuid.uuid4().hex}.json", json.dumps({vector: {"size": size, "distance": "cosine"}}))
+        self._put(f"{self._dir(name)}/VECTORS-{uuid.uuid4().hex}.json", json.dumps({vector: {"size": size, "distance": "cosine"}}))
         return True
 
     def _current(self, name: str) -> tuple[int, str | None]:
-        found = sorted(int(x[9:]) for x in self._names(self._dir(name)) if x.startswith("_CURRENT-"))
+        found = sorted(int(x[8:]) for x in self._names(self._dir(name)) if x.startswith("CURRENT-"))
         if not found:
             return 0, None
-        return found[-1], self.spark.read.text(f"{self._dir(name)}/_CURRENT-{found[-1]:09d}", wholetext=True).first()[0]
+        return found[-1], self.spark.read.text(f"{self._dir(name)}/CURRENT-{found[-1]:09d}", wholetext=True).first()[0]
 
     def read(self, name: str) -> DataFrame:
         if not self.exists(name):
@@ -106,7 +106,7 @@ class Store:
         number, _ = self._current(name)
         path = f"{self._dir(name)}/data-{uuid.uuid4().hex}"
         points.write.parquet(path)
-        self._put(f"{self._dir(name)}/_CURRENT-{number + 1:09d}", path)
+        self._put(f"{self._dir(name)}/CURRENT-{number + 1:09d}", path)
 
     def upsert(self, name: str, points: DataFrame) -> None:
         self._commit(name, upsert(self.read(name), materialize(points.select("id", "vectors", "document", "metadata"), "points")))

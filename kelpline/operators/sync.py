@@ -103,7 +103,13 @@ def read_state_json(spark: SparkSession, path: str) -> DataFrame:
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], STATE)
     entry = T.StructType([f for f in STATE])
-    text = spark.read.text(path, wholetext=True).select(F.from_json("value", T.StructType([T.StructField("files", T.MapType(T.StringType(), entry))])).alias("j"))
+    if p.getName()[:1] in "._":  # table readers skip hidden files
+        stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+        raw = spark.createDataFrame([(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"),)], "value string")
+        stream.close()
+    else:
+        raw = spark.read.text(path, wholetext=True)
+    text = raw.select(F.from_json("value", T.StructType([T.StructField("files", T.MapType(T.StringType(), entry))])).alias("j"))
     rows = text.select(F.explode("j.files").alias("key", "s")).select(F.coalesce("s.path", "key").alias("path"), *[F.col(f"s.{f.name}") for f in STATE if f.name != "path"])
     ids = F.array().cast("array<bigint>")
     return rows.withColumns({"chunk_count": F.coalesce("chunk_count", F.lit(0)), "chunk_ids": F.coalesce("chunk_ids", ids), "image_count": F.coalesce("image_count", F.lit(0)), "image_ids": F.coalesce("image_ids", ids)})
