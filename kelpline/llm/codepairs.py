@@ -121,7 +121,7 @@ def _python(text: str) -> list[dict]:
                 end += 1
             if kind == "def" and not any(k == "def" for _, k, _ in stack):
                 stop = next((k for k in range(end + 1, len(lines)) if lines[k].strip() and not inner[k] and not lines[k].lstrip().startswith("#") and len(lines[k]) - len(lines[k].lstrip()) <= indent), len(lines))
-                while stop > end + 1 and not lines[stop - 1].strip():
+                while stop > end + 1 and not inner[stop - 1] and (not lines[stop - 1].strip() or lines[stop - 1].lstrip().startswith("#") and len(lines[stop - 1]) - len(lines[stop - 1].lstrip()) <= indent):
                     stop -= 1
                 box = stack[-1][2] if stack else ""
                 one = re.search(r":[ \t]*(?:[rRuU]{0,2})([\"'].*)$", lines[end]) if end + 1 >= stop else None

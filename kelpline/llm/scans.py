@@ -50,7 +50,8 @@ CLASSES = [("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("rn", "m"), ("cl", "d")
 LETTERS = str.maketrans({"c": "e", "0": "o", "1": "l", "i": "l", "!": "l", "|": "l", "I": "l", "t": "f", "ſ": "f", "s": "f", "5": "f", "8": "b", "h": "b", "9": "g", "q": "g", "a": "o", "u": "n", "@": "o", "3": "e", "4": "o", "7": "f", "2": "z", "6": "g", "+": "f", "y": "v"})
 EDGE = ".,;:?()[]{}\"'“”„«»‘’…—–*_#`~<>"
 WORD = re.compile(r"\S+")
-BREAK = re.compile(r"([^\W\d_]+(?:[’'][^\W\d_]+)?)([-‐\u00ad¬])[ \t]*\n[ \t]*(?:[^\n]{0,80}\n)?")
+#: a hyphen at a line end, perhaps a page number line, and the word that goes on
+LINE_END = re.compile(r"([-‐\u00ad¬])[ \t]*\n(?:[^\n]{0,90}\d[^\n]{0,90}\n|[ \t]*\n)?[ \t\x0c]*([^\W\d_]+)")
 HYPHENS = "-‐­¬"
 SPACED = re.compile(r"(?<![^\s(“\"])(?:[^\W\d_] ){3,}[^\W\d_](?![^\s.,;:!?)”\"])|(?<!\S)(?:[^\W\d_] )+- (?:[^\W\d_] )+[^\W\d_](?!\w)")
 STRAY = re.compile(r"(?<=[^\W\d_,]) [|~¬^] (?=[^\W\d_])|(?<=[^\W\d_,.;]) ?[|~^](?=\n|$)|(?<=[^\W\d_]) \. (?=[a-zà-ÿ])|(?<=[^\W\d_])¬(?=\s)")
@@ -324,8 +325,12 @@ def train_joins(words: list[tuple[str, int]], seed: int = 13) -> Boosted:
 def breaks(text: str) -> list[tuple[int, int, str, str, str]]:
     """``(start, end, left, mark, right)`` of words broken at a line end; page furniture may lie between."""
     out = []
-    for m in re.finditer(r"([^\W\d_]+)([-‐\u00ad¬])([ \t]*\n(?:[^\n]*\d[^\n]*\n|\s*\n)?[ \t\x0c]*)([^\W\d_]+)", text):
-        out.append((m.start(), m.end(), m[1], m[2], m[4]))
+    for m in LINE_END.finditer(text):
+        at = m.start()
+        while at and text[at - 1].isalpha():
+            at -= 1
+        if at < m.start() and (not out or at >= out[-1][1]):
+            out.append((at, m.end(), text[at : m.start()], m[1], m[2]))
     return out
 
 
