@@ -13,6 +13,7 @@ class Boosted:
         self.edges: list[np.ndarray] = []
         self.forest: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.base = 0.0
+        self._stacked = None
 
     def _bin(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(self.edges)], axis=1)
@@ -69,11 +70,21 @@ class Boosted:
             at[rows] = 2 * at[rows] + 1 + (b[rows, f[rows]] > cut[at[rows]])
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        """Probability of each row."""
+        """Probability of each row; all trees walk down together."""
         if not len(x):
             return np.zeros(0)
-        b = self._bin(x)
         out = np.full(len(x), self.base)
-        for tree in self.forest:
-            out += self._tree(b, tree)
+        if self.forest:
+            if self._stacked is None:
+                self._stacked = tuple(np.stack(parts) for parts in zip(*self.forest))
+            feat, cut, value = self._stacked
+            tree = np.arange(len(self.forest))[None, :]
+            for a in range(0, len(x), 4096):
+                b = self._bin(x[a : a + 4096])
+                row = np.arange(len(b))[:, None]
+                at = np.zeros((len(b), len(self.forest)), np.int64)
+                for _ in range(self.depth):
+                    f = feat[tree, at]
+                    at = np.where(f >= 0, 2 * at + 1 + (b[row, f] > cut[tree, at]), at)
+                out[a : a + 4096] += value[tree, at].sum(axis=1)
         return 1 / (1 + np.exp(-out))
