@@ -83,7 +83,7 @@ def plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None)
     budget = largest if total_tokens is None else total_tokens
     goals_of = have.select("source", F.floor(F.lit(float(budget)) * F.col("share") / F.lit(present)).cast("long").alias("budget"), "cap", "have")
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("tokens")
         lengths, counts = pdf["tokens"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
         have, cap = int(pdf["have"].iloc[0]), int(pdf["cap"].iloc[0])

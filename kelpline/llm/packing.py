@@ -76,7 +76,7 @@ def pack(documents: DataFrame, limits: DataFrame, doc_id: str = "doc_id", text:
     items = items.withColumn("piece", F.explode(pieces)).withColumn("size", F.least("capacity_tokens", F.col("tokens") - F.col("piece") * F.col("capacity_tokens")))
     placed = items.select("container", "capacity_tokens", "doc_id", "piece", "size", F.xxhash64("doc_id", "piece", F.lit(SEED)).alias("h")).withColumn("shard", F.pmod("h", F.lit(shards)))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "doc_id", "piece"], kind="stable")
         bins = sum_of_squares(pdf["size"].to_numpy(), int(key[1]))
         return pd.DataFrame({"container": pdf["container"], "capacity_tokens": pdf["capacity_tokens"], "bin": bins * shards + int(key[2]), "doc_id": pdf["doc_id"], "piece": pdf["piece"], "tokens": pdf["size"]})
