@@ -6,8 +6,9 @@
   neighbour graph.  Every executor searches that graph in memory; it holds at most ``MAX_CENTROIDS``.
 * Every vector joins the posting list of its nearest centroid and, near a boundary, those of further
   centroids (at most ``REPLICAS``) whose distance is within ``BOUNDARY`` of the nearest.
-* Lists are balanced: one that is longer than ``LIST_SIZE`` is split into salted parts, each searched by
-  the same queries, so that no task holds an unbounded list and no member is dropped.
+* Lists are balanced: one that is longer than ``2 * LIST_SIZE`` is split into salted parts and its queries
+  into as many blocks; every block meets every part, so no task holds an unbounded list, nor all its
+  queries, and no member is dropped.
 * A query visits its ``LEAST_PROBES`` nearest lists and those whose centroid distance is within ``RATIO`` of
   its nearest (at most ``PROBES``).
 
@@ -186,13 +187,15 @@ def _assign(centroids: np.ndarray, want: int, ratio: float, parts: dict[int, int
                     again = np.repeat(np.arange(len(lists)), times)
                     within = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
                     src = pa.array(row[again])
-                    yield pa.RecordBatch.from_arrays([pa.array(lists[again]), pa.array(within), part.column("rep").take(src), part.column("vector").take(src)], names=["list", "part", "rep", "vector"])
+                    # the queries of a split list are split likewise, so that each task sees one block of it
+                    block = (np.asarray(part.column("rep"))[row[again]] * 2654435761 >> 9 & 0xFFFF) % np.maximum(times[again], 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(lists[again]), pa.array(within), pa.array(block), part.column("rep").take(src), part.column("vector").take(src)], names=["list", "part", "block", "rep", "vector"])
 
     return run
 
 
 def _search_lists(k: int):
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"rep": [], "other": [], "sim": []}).astype({"rep": "int64", "other": "int64", "sim": "float64"})
         m = _unit(np.stack(right["vector"].to_numpy()).astype(np.float64))
@@ -240,10 +243,10 @@ def neighbours(points: DataFrame, id: str = "id", vector: str = "vector", k: int
     # at most MAX_CENTROIDS rows: the sizes of the lists, to split the long ones
     sizes = {r["list"]: r["n"] for r in postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = {x: max(1, math.ceil(s / list_size / 2)) for x, s in sizes.items()}
-    queries = reps.select("rep", "vector").mapInArrow(_assign(centroids, PROBES, RATIO, parts), "list long, part long, rep long, vector array<float>")
+    queries = reps.select("rep", "vector").mapInArrow(_assign(centroids, PROBES, RATIO, parts), "list long, part long, block long, rep long, vector array<float>")
     lists = points.sparkSession.createDataFrame([(x, p) for x, p in parts.items()], "list long, many long")
-    members = postings.join(F.broadcast(lists), "list").select("list", F.pmod("salt", "many").alias("part"), "rep", "vector")
-    found = queries.groupBy("list", "part").cogroup(members.groupBy("list", "part")).applyInPandas(_search_lists(k), "rep long, other long, sim double")
+    members = postings.join(F.broadcast(lists), "list").select("list", F.pmod("salt", "many").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)).alias("block"), "rep", "vector")
+    found = queries.groupBy("list", "part", "block").cogroup(members.groupBy("list", "part", "block")).applyInPandas(_search_lists(k), "rep long, other long, sim double")
     best = _top(found.distinct(), "rep", "other", "sim", k + 1)
     return _expand(best, reps, clean, k)
 
