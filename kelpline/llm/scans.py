@@ -31,8 +31,8 @@ from .boosting import Boosted
 TRAIN_WORDS = 4_000
 #: a candidate must be this much more frequent than the form it replaces, and occur in so many records
 RATIO, MIN_COUNT = 12, 4
-#: rarest q-grams of a form that are joined, and the least similarity of skeletons
-PREFIX, LEAST_SIMILAR = 4, 0.5
+#: the least similarity of skeletons, and the most by which numbers of q-grams and lengths may differ
+LEAST_SIMILAR, SIZE_GAP = 0.5, 2
 BITMAP_BITS = 24
 ACCEPT = 0.5
 #: share of a form's records with other noise from which on it is a misreading
@@ -424,6 +424,32 @@ def repair(text: str, known: dict[str, tuple[int, str | None, float]], furniture
     return s, sorted(kinds), strong, sorted(set(weak))
 
 
+def _prefix(forms: DataFrame, posting: DataFrame) -> DataFrame:
+    """The rarest q-grams of each form that hold at least one of any candidate with ``LEAST_SIMILAR``.
+
+    A form and a candidate share at least ``need`` q-grams, whatever size the candidate has, so one of them
+    is among all but ``need - 1`` of those the lexicon knows.  Both sides use the same order, so the rarest
+    q-gram that they share is in the prefix of both.
+    """
+    order = Window.partitionBy("form").orderBy("posting", "gram")
+    need = F.greatest(F.lit(1), F.ceil(F.lit(LEAST_SIMILAR) * (F.col("size") - SIZE_GAP)))
+    ranked = forms.join(posting, "gram").withColumn("rn", F.row_number().over(order)).withColumn("known", F.count(F.lit(1)).over(Window.partitionBy("form")))
+    return ranked.where(F.col("rn") <= F.col("known") - need + 1).select("form", "n", "gram", "size")
+
+
+def _candidates(rare: DataFrame, lex: DataFrame) -> DataFrame:
+    """``(noisy, n_noisy, clean, n_clean)``: every pair of about the same size that has ``LEAST_SIMILAR``, and some others."""
+    posting = lex.groupBy("gram").agg(F.count(F.lit(1)).alias("posting"))
+    noisy = _prefix(rare, posting).select(F.col("form").alias("noisy"), F.col("n").alias("n_noisy"), "gram", F.col("size").alias("size_noisy"))
+    clean = _prefix(lex, posting).withColumnRenamed("form", "clean").withColumnRenamed("n", "n_clean")
+    return (
+        noisy.join(clean, "gram")
+        .where((F.col("n_clean") >= RATIO * F.col("n_noisy")) & (F.abs(F.col("size") - F.col("size_noisy")) <= SIZE_GAP) & (F.abs(F.length("noisy") - F.length("clean")) <= SIZE_GAP))
+        .select("noisy", "n_noisy", "clean", "n_clean")
+        .distinct()
+    )
+
+
 def _corrections(forms: DataFrame) -> tuple[DataFrame, list[tuple[str, int]]]:
     """``(form, fix, score)`` for rare forms, and a bounded sample of frequent words to train from."""
     plain = F.col("form").rlike(r"^[\p{L}]+(?:['’-][\p{L}]+)*$") & ~F.col("form").rlike("[ſﬁﬂﬀ]")
@@ -432,17 +458,9 @@ def _corrections(forms: DataFrame) -> tuple[DataFrame, list[tuple[str, int]]]:
     ranker = train_ranker([x for x in sample if len(x[0]) > 2])
     schema = "form string, n long, gram string, size int"
     lex = materialize(frequent.select("form", "n").mapInArrow(_emit_grams, schema), "lexicon")
-    posting = lex.groupBy("gram").agg(F.count(F.lit(1)).alias("posting"))
     rare = forms.where(F.col("form").rlike(r"\p{L}") & (F.length("form") > 2)).select("form", "n").mapInArrow(_emit_grams, schema)
-    w = Window.partitionBy("form").orderBy("posting", "gram")
-    prefix = rare.join(posting, "gram").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= PREFIX).select(F.col("form").alias("noisy"), F.col("n").alias("n_noisy"), "gram", F.col("size").alias("size_noisy"))
     # the inverted join: only candidates that are much more frequent and about as long
-    pairs = (
-        prefix.join(lex.withColumnRenamed("form", "clean").withColumnRenamed("n", "n_clean"), "gram")
-        .where((F.col("n_clean") >= RATIO * F.col("n_noisy")) & (F.abs(F.col("size") - F.col("size_noisy")) <= 2) & (F.abs(F.length("noisy") - F.length("clean")) <= 2))
-        .select("noisy", "n_noisy", "clean", "n_clean")
-        .distinct()
-    )
+    pairs = _candidates(rare, lex)
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -153,6 +153,29 @@ def test_scan_edge_cases(spark):
     assert S.repair_scans(rec.unionByName(rec)).count() == 12
 
 
+def test_no_similar_candidate_is_lost(spark):
+    """Confusions that spoil the rare q-grams of a form still leave its word among the candidates."""
+    import random
+
+    rng = random.Random(3)
+    lexicon = sorted({a + b + c for a in ("wor", "ma", "pla", "stee", "orle", "hea") for b in ("k", "rl", "lee", "n", "d") for c in ("er", "eer", "ed", "ing", "le")} | {"worker", "sleeper"})
+    noisy = ["worlcer"] + [S.corrupt(S.corrupt(w, rng), rng) for w in lexicon]
+    schema = "form string, n long, gram string, size int"
+    lex = spark.createDataFrame([(w, 500) for w in lexicon], "form string, n long").mapInArrow(S._emit_grams, schema)
+    rare = spark.createDataFrame([(w, 2) for w in sorted(set(noisy))], "form string, n long").mapInArrow(S._emit_grams, schema)
+    got = {(r["noisy"], r["clean"]) for r in S._candidates(rare, lex).collect()}
+    gram = {w: set(S.grams(w)) for w in [*lexicon, *noisy]}
+    want = {
+        (a, b) for a in noisy for b in lexicon
+        if abs(len(gram[a]) - len(gram[b])) <= 2 and abs(len(a) - len(b)) <= 2 and len(gram[a] & gram[b]) >= S.LEAST_SIMILAR * min(len(gram[a]), len(gram[b]))
+    }
+    assert ("worlcer", "worker") in want and want <= got
+    # the four rarest known q-grams alone would have lost some
+    posting = {g: sum(g in gram[b] for b in lexicon) for a in noisy for g in gram[a]}
+    first = {a: set(sorted((g for g in gram[a] if posting[g]), key=lambda g: (posting[g], g))[:4]) for a in noisy}
+    assert any(not first[a] & gram[b] for a, b in want)
+
+
 def test_alignment_and_booster():
     assert S.align("rnodern", "modern") == (1, 0) and S.align("thc", "the") == (1, 0) and S.align("xhe", "the")[1] == 1 and S.align("same", "same") == (0, 0)
     import numpy as np
