@@ -35,7 +35,7 @@ RATIO, MIN_COUNT = 12, 4
 LEAST_SIMILAR, SIZE_GAP = 0.5, 2
 BITMAP_BITS = 24
 ACCEPT = 0.5
-#: share of a form's records with other noise from which on it is a misreading
+#: share of a form's distinct texts with other noise from which on it is a misreading (by the rule of succession)
 PURITY = 0.3
 
 # Glyphs and groups that scanners mix up.
@@ -546,13 +546,14 @@ def noisy_records(repaired: DataFrame) -> DataFrame:
 
     Noise is any line noise, stray or spaced letters, a replaced form that is impossible in clean text, or
     other replaced forms.  A replaced form that stands mostly in records without any other noise is a word
-    of its own and no evidence (``PURITY``, counted over all records).
+    of its own and no evidence (``PURITY``, counted over all distinct repaired texts, so copies make no
+    difference; a form in a single text needs no other noise).
     """
     kinds = F.col("kinds")
-    marks = materialize(repaired.select("record_table", "record_id", "kinds", "strong", "weak"), "noise")
+    marks = materialize(repaired.select("record_table", "record_id", "kinds", "strong", "weak", F.when(F.size("weak") > 0, F.xxhash64("clean")).alias("h")), "noise")
     line = F.array_contains(kinds, "hyphen") | F.array_contains(kinds, "furniture") | F.array_contains(kinds, "spaced") | F.array_contains(kinds, "stray") | (F.col("strong") > 0)
-    words = marks.where(F.size("weak") > 0).select("record_table", "record_id", (line | (F.size("weak") > 2)).cast("int").alias("other"), F.explode("weak").alias("form"))
-    stats = words.groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.sum("other").alias("m"))
-    real = stats.where((F.col("n") < 4) | (F.col("m") >= PURITY * F.col("n"))).select("form")
+    words = marks.where(F.size("weak") > 0).select("record_table", "record_id", "h", (line | (F.size("weak") > 2)).cast("int").alias("other"), F.explode("weak").alias("form"))
+    stats = words.groupBy("form", "h").agg(F.max("other").alias("other")).groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.sum("other").alias("m"))
+    real = stats.where(F.col("m") + 1 >= PURITY * (F.col("n") + 2)).select("form")
     by_word = words.where("other = 0").join(real, "form", "left_semi").select("record_table", "record_id")
     return marks.where(line | (F.size("weak") > 2)).select("record_table", "record_id").unionByName(by_word).distinct()

@@ -176,6 +176,14 @@ def test_no_similar_candidate_is_lost(spark):
     assert any(not first[a] & gram[b] for a, b in want)
 
 
+def test_scan_copies_of_a_text_count_once(spark):
+    """Copies of a text with one weak misreading are no evidence that it is a word; many distinct texts are."""
+    rows = [("documents", i, ["misread"], 0, ["thc"], "the older rule still applied.") for i in range(9)]
+    rows += [("documents", 100 + i, ["misread"], 0, ["fell"], f"the rate fell by {i}.") for i in range(9)]
+    found = S.noisy_records(spark.createDataFrame(rows, S.SCHEMA)).collect()
+    assert {r["record_id"] for r in found} == set(range(9))
+
+
 def test_alignment_and_booster():
     assert S.align("rnodern", "modern") == (1, 0) and S.align("thc", "the") == (1, 0) and S.align("xhe", "the")[1] == 1 and S.align("same", "same") == (0, 0)
     import numpy as np
