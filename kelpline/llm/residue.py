@@ -1,11 +1,17 @@
 """Template residue and error-page text: unfilled placeholders, filler, error pages, script notices.
 
-Method: records made from the same template are aligned by the words around a candidate slot.  Where the
-aligned position holds different fillers across records, the position is an induced slot, and a record
-whose slot still holds a variable name, a default or a blank is flagged; a marker that stands in one fixed
-sentence only (a text about templates) never varies and is no slot.  Beside that, pages are compared with
-whole-page templates of errors, script notices and filler: a page is flagged if every content line
-belongs to such a template, where lines that occur nearly only on such pages are learned from the corpus.
+Method, all of it over distinct texts, so that copies are no evidence:
+
+* Records made from the same template are aligned by the words around a candidate slot.  The places of all
+  markers are looked up in all records, so a value that another record holds there ("Dear Anna,") counts as
+  well as another marker.  A place with different fillers is an induced slot, and a record whose slot still
+  holds a variable name, a default or a blank is flagged.  A filler that stands in induced slots is one
+  elsewhere too.  What is left are markers that nothing can be aligned with: one is flagged if its form is
+  unmistakable and its sentence does not speak of templates.
+* Whole pages are compared with templates of errors, script notices and filler: a page is flagged if every
+  content line belongs to one.  Fixed patterns only give the first such lines.  Lines that occur nearly only
+  on such pages are learned from the corpus, and pages that hold nothing but learned lines are flagged too.
+  Every line of every text is judged and counted, whatever its length.
 """
 
 from __future__ import annotations
@@ -14,21 +20,25 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import salted_join
+from ..session import materialize
 from .markup import FIELD_NAMES, LINK, TAG, WIKI_TEMPLATE, _placeholder_free
 
-#: a slot is induced where its place holds this many different fillers, or its filler stands in this many places
+#: a place is a slot where it holds so many different fillers in distinct texts
 MIN_FILLERS = 2
-MIN_PLACES = 3
-#: a line is learned as part of error pages if at least this share of its pages hold a known error line
+#: a line is learned as part of error pages if at least this share of its texts are such pages
 LEARNED_SHARE = 0.8
-#: a whole-page template has at most this many lines, and at most this many sentences without any cue
-PAGE_LINES = 40
-PAGE_PROSE = 8
+#: a text teaches lines if at least this share of its content lines are known
+TEACHING_SHARE = 0.3
+#: words that a value between two fixed contexts may have, and the size of the bit maps of contexts
+VALUE_WORDS = 4
+CONTEXT_BITS = 22
 
 # The syntaxes in which templates write their slots.
 SLOT = re.compile(
@@ -36,6 +46,16 @@ SLOT = re.compile(
     r"|%%[A-Za-z_]\w*%%|@@[A-Za-z_]\w*@@|__[A-Z][A-Z0-9_]*[A-Z0-9]__|\$[A-Z][A-Z0-9_]*\$|<<[^<>\n]{2,50}>>"
     r"|\{[A-Za-z0-9_][^{}\n]{0,50}\}|\[\[[A-Za-z_][\w ]{0,30}\]\]|\[[^\[\]\n]{2,50}\]|<[^<>\n]{2,50}>|\b(?:XX|DD|MM)[/.-](?:XX|DD|MM)[/.-](?:XXXX|YYYY|XX|YY)\b|_{4,}"
 )
+#: markers that nothing but a template holds
+CLEAR = re.compile(
+    r"\{\{\{?\s*[A-Za-z_][\w.|\[\]'\" -]*\}?\}\}|\$\{\s*[A-Za-z_][\w.]*\s*\}|#\{\s*[A-Za-z_][\w.]*\s*\}|<%=?[^%\n]+%>|%\([A-Za-z_]\w*\)[sdf]|%%[A-Z_]+%%|@@[A-Z_]+@@|__[A-Z][A-Z_]+__|\$[A-Z][A-Z_]+\$"
+    r"|<<[A-Za-z][\w ]+>>|[\[<](?i:your|insert|enter|add|ihr|ihre|bitte|votre|su|seu|ваше?|twoje?)\b[^\[\]<>\n]*[\]>]"
+)
+#: a sentence about templates
+ABOUT = re.compile(
+    r"(?i)\b(?:templat\w*|placeholders?|variables?|substitut\w*|replac\w*|render\w*|expand\w*|syntax|markers?|macros?|tokens?|expressions?|snippets?|braces|brackets|delimiters?|escap\w*|means|denotes|stands? for|write|type|regex\w*"
+    r"|vorlagen?|platzhalter\w*|variablen?|ersetz\w*|modèle|gabarit|variable|remplac\w*|plantilla|marcador|reemplaz\w*|sustitu\w*|modelo|substitu\w*|шаблон\w*|переменн\w*|замен\w*|szablon\w*|zmienn\w*|zastęp\w*)\b|テンプレート|変数|置換|`"
+)
 MAGIC = frozenset("__NOTOC__ __TOC__ __FORCETOC__ __NOEDITSECTION__ __NOINDEX__ __INDEX__ __NOGALLERY__".split())
 LOREM = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt ut labore et dolore magna aliqua enim minim veniam quis nostrud "
@@ -47,7 +67,7 @@ FILLER = re.compile(
     r"""(?ix)^(?:
       .{0,40}\bplaceholder(?:\s+text)?\W*$ | .*\b(?:text|paragraph|content|copy|description|caption|title)\ goes\ here\b.* | .{0,40}\bto\ come\W*$
     | coming\ soon\b.* | (?:insert|add|enter|put|write)\ (?:your\ |the\ )?[\w ]{1,30}(?:\bhere|\bfor\ this\ \w+)\W*$ | replace\ this\ [\w ]{1,25}(?:\bwith\b.*)?$
-    | this\ is\ (?:an?|some)\ (?:example|sample|dummy|placeholder)\b[\w ]{0,25}\W*(?:change\ it.*|edit\ me.*|replace\ .*)?$ | (?:change|edit|replace)\ (?:it|me|this)\ later\W*$
+    | this\ is\ (?:(?:an?|some|just|only)\ )*(?:example|sample|dummy|placeholder)\b[\w ]{0,25}\W*(?:change\ it.*|edit\ me.*|replace\ .*)?$ | (?:change|edit|replace)\ (?:it|me|this)\ later\W*$
     | your\ (?:text|paragraph|content|title|caption|\w+)\ (?:goes\ )?here\b.* | (?:blah\W*){2,}.*
     | (?:sample|dummy|lorem|test|filler|example)\ \w+(?:\ \w+){0,2}(?:\W+(?:sample|dummy|lorem|test|filler|example)\ \w+(?:\ \w+){0,2})*\W*$
     | hier\ (?:kommt|steht|folgt)\b.*\btext\b.* | (?:blindtext|platzhalter)\b.* | aqu[ií]\ va\ .*\btexto\b.* | texto\ de\ (?:ejemplo|relleno|prueba)\b.*
@@ -122,7 +142,6 @@ def _automaton(cues: str) -> ahocorasick.Automaton:
 
 
 _CUE, _FILLER_CUE = _automaton(CUES), _automaton(FILLER_CUES)
-_ANY = _automaton("|".join(sorted(w for w in LOREM if len(w) > 5)) + "|placeholder|blah|dummy|asdf|xxx")
 
 
 def _has(automaton: ahocorasick.Automaton, text: str) -> bool:
@@ -155,37 +174,37 @@ def _filler(line: str) -> bool:
     return FILLER.match(line.strip()) is not None
 
 
-def page_lines(text: str) -> tuple[int, list[tuple[int, str]]]:
-    """How many known lines (errors, notices, filler) a page has, and its other content sentences as masked keys.
+def page_lines(text: str) -> tuple[int, list[int]]:
+    """How many known lines (errors, notices, filler) a text has, and its other content sentences as keys.
 
-    Menu lines and a title in front do not count.
+    Digits are masked.  Menu lines and a title in front do not count.
     """
     lines = [x.strip() for x in text.split("\n") if x.strip()]
-    if len(lines) > PAGE_LINES:
-        return 0, []
-    prose = [x for line in lines for x in SENTENCE.split(MASK.sub("0", line)) if not (_has(_CUE, low := x.lower()) or _has(_ANY, low))]
-    if len(prose) > PAGE_PROSE and sum(len(x.split()) > 4 for x in prose) > PAGE_PROSE:
-        return 0, [(xxhash.xxh64_intdigest(x) - (1 << 63), x) for x in prose]
     lines = [x for x in lines if len(x) > 160 or not SIDE.search(x)]
-    known, rest = 0, []
+    known, rest = 0, set()
     for k, line in enumerate(lines):
         masked = MASK.sub("0", line)
-        if len(line) < 60 and _has(_CUE, line.lower()) and STATUS.match(masked) or _filler(line):
+        cue = _has(_CUE, line.lower())
+        if len(line) < 60 and cue and STATUS.match(masked) or _filler(line):
             known += 1
             continue
-        if k == 0 and len(lines) > 1 and not re.search(r"[.!?…。:]\W*$|\.\.\.", line) and len(line) < 90 and not _notice(masked):
+        if k == 0 and len(lines) > 1 and len(line) < 90 and not re.search(r"[.!?…。:]\W*$|\.\.\.", line) and not (cue and _notice(masked)):
             continue
         parts = SENTENCE.split(masked)
         for sentence in parts:
-            if _notice(sentence) or len(parts) > 1 and _filler(sentence) and not SUBJECT.search(sentence):
+            if cue and _notice(sentence) or len(parts) > 1 and _filler(sentence) and not SUBJECT.search(sentence):
                 known += 1
             elif re.search(r"[^\W\d_]", sentence):
-                rest.append(sentence)
-    return known, [(xxhash.xxh64_intdigest(s) - (1 << 63), s) for s in rest]
+                rest.add(xxhash.xxh64_intdigest(sentence) - (1 << 63))
+    return known, sorted(rest)
 
 
-def slots(text: str) -> list[tuple[str, str, str]]:
-    """``(left words, right words, filler)`` of every candidate slot; markup is no slot."""
+def slots(text: str) -> list[tuple[str, str, str, bool]]:
+    """``(left words, right words, filler, clear)`` of every candidate slot; markup is no slot.
+
+    ``clear`` tells that the marker needs no other record to be one: its form is unmistakable and its
+    sentence does not speak of templates.
+    """
     if not re.search(r"[{\[<%@$_]|XX|DD|MM", text):
         return []
     spans = [m.span() for m in TAG.finditer(text)] + [m.span() for m in LINK.finditer(text)]
@@ -214,20 +233,52 @@ def slots(text: str) -> list[tuple[str, str, str]]:
         found.append((a, b, body))
     for a, b, body in found:
         start, end = text.rfind("\n", 0, a) + 1, text.find("\n", b)
+        end = end if end >= 0 else len(text)
         left = SLOT.sub("*", text[start:a]).split()[-2:]
-        right = SLOT.sub("*", text[b : end if end >= 0 else len(text)]).split()[:2]
+        right = SLOT.sub("*", text[b:end]).split()[:2]
         mark = text[b : b + 1] if b < len(text) and not text[b].isspace() else ""
-        out.append((" ".join(left), f"{mark}|{' '.join(right)}", MASK.sub("0", body)))
+        head, tail = SENTENCE.split(text[start:a])[-1], SENTENCE.split(text[b:end], maxsplit=1)[0]
+        clear = CLEAR.fullmatch(body) is not None and not ABOUT.search(head) and not ABOUT.search(tail)
+        out.append((" ".join(left), f"{mark}|{' '.join(right)}", MASK.sub("0", body), clear))
     return out
 
 
-EMIT = "doc_id long, known int, rest array<long>, slots array<struct<l:string,r:string,f:string>>"
+def _bit(context: str) -> int:
+    return xxhash.xxh64_intdigest(context) & ((1 << CONTEXT_BITS) - 1)
+
+
+def values(text: str, ends: np.ndarray, lefts: np.ndarray, rights: np.ndarray) -> Iterator[tuple[str, str, str]]:
+    """``(left words, right words, value)`` wherever both contexts of a marker surround other words, or nothing.
+
+    The bit maps hold the last left words, the left and the right contexts of all markers.
+    """
+    for line in text.split("\n"):
+        w = line.split()
+        for i in range(1, len(w)):
+            if not ends[_bit(w[i - 1])]:
+                continue
+            left = " ".join(w[max(0, i - 2) : i])
+            if not lefts[_bit(left)]:
+                continue
+            for n in range(VALUE_WORDS + 1):
+                j = i + n
+                if j >= len(w):
+                    break
+                last = w[j - 1] if n else ""
+                mark = last[-1:] if not last[-1:].isalnum() else ""
+                right = f"{mark}|{mark} {w[j]}" if mark else f"|{w[j]} {w[j + 1]}" if j + 1 < len(w) else ""
+                if right and rights[_bit(right)]:
+                    yield left, right, MASK.sub("0", " ".join(w[i:j]).rstrip(mark or None))
+                    break
+
+
+EMIT = "doc_id long, t binary, known int, rest array<long>, slots array<struct<l:string,r:string,f:string,clear:boolean>>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("l", pa.string()), ("r", pa.string()), ("f", pa.string())]))
+    kind = pa.list_(pa.struct([("l", pa.string()), ("r", pa.string()), ("f", pa.string()), ("clear", pa.bool_())]))
     for batch in batches:
-        ids, known, rest, cand = [], [], [], []
+        ids, keys, known, rest, cand = [], [], [], [], []
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if text is None or not text.strip():
                 continue
@@ -236,43 +287,85 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not n and not s and not other:
                 continue
             ids.append(i)
+            keys.append(xxhash.xxh3_128_digest(text))
             known.append(n)
-            rest.append([h for h, _ in other])
-            cand.append([{"l": a, "r": b, "f": c} for a, b, c in s])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(known, pa.int32()), pa.array(rest, pa.list_(pa.int64())), pa.array(cand, kind)], names=["doc_id", "known", "rest", "slots"])
+            rest.append(other)
+            cand.append([{"l": a, "r": b, "f": c, "clear": d} for a, b, c, d in s])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(known, pa.int32()), pa.array(rest, pa.list_(pa.int64())), pa.array(cand, kind)], names=["doc_id", "t", "known", "rest", "slots"])
+
+
+def _bits(contexts: DataFrame) -> np.ndarray:
+    """Bit map of one string column, combined on the map side: at most ``2**(CONTEXT_BITS - 6)`` rows reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.array(sorted({_bit(x) for x in batch.column(0).to_pylist()}), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], names=["word", "bits"])
+
+    words = np.zeros(1 << CONTEXT_BITS - 6, np.int64)
+    for r in contexts.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
+        words[r["word"]] = r["bits"]
+    return np.unpackbits(words.astype("<i8").view(np.uint8), bitorder="little").astype(bool)
+
+
+def _aligned_values(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """``(l, r, f)``: what other records hold between the contexts of markers, each once."""
+    full = places.where("l <> ''")
+    maps = (_bits(full.select(F.element_at(F.split("l", " "), -1))), _bits(full.select("l")), _bits(full.select("r")))
+    shared = texts.sparkSession.sparkContext.broadcast(maps)  # three maps of 2**CONTEXT_BITS entries
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {x for text in batch.column(0).to_pylist() if text for x in values(text, *shared.value)}
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in range(3)], names=["l", "r", "f"])
+
+    got = texts.mapInArrow(run, "l string, r string, f string").distinct()
+    # the maps let some other contexts through
+    return got.join(places.distinct(), ["l", "r"], "left_semi")
+
+
+def _slots(source: DataFrame, texts: DataFrame) -> DataFrame:
+    """Keys of the texts that hold an unfilled placeholder."""
+    slot = texts.where(F.size("slots") > 0).select("t", F.explode("slots").alias("s")).select("t", "s.*")
+    markers = materialize(slot.groupBy("l", "r", "f").agg(F.max("clear").alias("clear")), "markers")
+    aligned = _aligned_values(source.select("text"), markers.select("l", "r"))
+    combos = materialize(markers.select("l", "r", "f").unionByName(aligned.where("f <> ''")).distinct(), "fillers")
+    by_place = combos.groupBy("l", "r").agg(F.count(F.lit(1)).alias("n_both"))
+    by_left = markers.where("l <> ''").groupBy("l").agg(F.count_distinct("f").alias("n_left"))
+    by_right = markers.where("r <> '|'").groupBy("r").agg(F.count_distinct("f").alias("n_right"))
+    judged = markers.join(by_place, ["l", "r"]).join(by_left, "l", "left").join(by_right, "r", "left").select("l", "r", "f", "clear", (F.greatest("n_both", "n_left", "n_right") >= MIN_FILLERS).alias("varies"))
+    usual = judged.where("varies").select("f").distinct()
+    open_ = judged.join(usual.withColumn("usual", F.lit(True)), "f", "left").where("varies OR usual OR clear").select("l", "r", "f")
+    return salted_join(slot, open_, ["l", "r", "f"], "left_semi", by="t").select("t").distinct()
+
+
+def _pages(texts: DataFrame) -> DataFrame:
+    """Keys of the texts in which every content line is known or learned."""
+    teaches = F.col("known") >= TEACHING_SHARE * (F.col("known") + F.size("rest"))
+    alone = (F.col("known") == 0) & (F.size("rest") == 1)  # a text of one line says nothing about the line
+    lines = texts.select("t", teaches.cast("int").alias("page"), alone.alias("alone"), F.explode("rest").alias("h"))
+    counts = lines.groupBy("h").agg(F.count_if(~F.col("alone")).alias("n"), F.sum("page").alias("n_page"))
+    learned = counts.where((F.col("n_page") >= 2) & (F.col("n_page") >= LEARNED_SHARE * F.col("n"))).select("h")
+    covered = salted_join(lines, learned, ["h"], "left_semi", by="t").groupBy("t").agg(F.count(F.lit(1)).alias("n_learned"))
+    open_ = texts.where(F.size("rest") > 0).select("t", F.size("rest").alias("n_rest"))
+    return texts.where((F.col("known") > 0) & (F.size("rest") == 0)).select("t").unionByName(open_.join(covered, "t").where("n_rest = n_learned").select("t"))
 
 
 def template_residue(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, placeholder, whole_page)`` for every flagged document, each once.
 
-    Null and blank texts are never flagged; repeated rows of an id give one row.  Slot evidence is counted
-    per distinct (place, filler), so hot templates are aggregated before anything is joined.
+    Null and blank texts are never flagged; repeated rows of an id give one row, and an id with different
+    texts is flagged if one of them is.  Texts are reduced to distinct ones before anything is counted or
+    joined; joins on lines and slots are salted, since one may stand in a third of all texts.
     """
-    from ..session import materialize
-
-    seen = materialize(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_scan, EMIT), "residue")
-    slot = seen.where(F.size("slots") > 0).select("doc_id", F.explode("slots").alias("s")).select("doc_id", "s.*")
-    combos = slot.select("l", "r", "f").distinct()
-    by_place = combos.groupBy("l", "r").agg(F.count(F.lit(1)).alias("n_both"))
-    by_left = combos.where("l <> ''").groupBy("l").agg(F.count_distinct("f").alias("n_left"))
-    by_right = combos.where("r <> '|'").groupBy("r").agg(F.count_distinct("f").alias("n_right"))
-    by_filler = combos.groupBy("f").agg(F.count(F.lit(1)).alias("n_places"))
-    varied = (
-        combos.join(by_place, ["l", "r"]).join(by_left, "l", "left").join(by_right, "r", "left").join(by_filler, "f")
-        .where(((F.greatest("n_both", "n_left", "n_right") >= MIN_FILLERS) & (F.col("n_places") >= 2)) | (F.col("n_places") >= MIN_PLACES))
-        .select("l", "r", "f")
-    )
-    filled = slot.join(varied, ["l", "r", "f"], "left_semi").select("doc_id").distinct()
-    # whole pages
-    pages = seen.where("known > 0")
-    unknown = pages.select("doc_id", F.explode("rest").alias("h"))
-    on_pages = unknown.select("doc_id", "h").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n_known"))
-    anywhere = seen.select("doc_id", F.explode("rest").alias("h")).join(on_pages.select("h"), "h", "left_semi").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n_all"))
-    learned = on_pages.join(anywhere, "h").where((F.col("n_known") >= 2) & (F.col("n_known") >= LEARNED_SHARE * F.col("n_all"))).select("h")
-    bad = unknown.join(learned, "h", "left_anti").select("doc_id").distinct()
-    whole = pages.join(bad, "doc_id", "left_anti").select("doc_id").distinct()
-    both = filled.withColumn("placeholder", F.lit(True)).join(whole.withColumn("whole_page", F.lit(True)), "doc_id", "full_outer")
-    return both.select("doc_id", F.coalesce("placeholder", F.lit(False)).alias("placeholder"), F.coalesce("whole_page", F.lit(False)).alias("whole_page"))
+    source = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    seen = materialize(source.mapInArrow(_scan, EMIT), "residue")
+    texts = materialize(seen.groupBy("t").agg(F.first("known").alias("known"), F.first("rest").alias("rest"), F.first("slots").alias("slots")), "texts")
+    filled = _slots(source, texts).select("t", F.lit(True).alias("placeholder"), F.lit(False).alias("whole_page"))
+    whole = _pages(texts).select("t", F.lit(False).alias("placeholder"), F.lit(True).alias("whole_page"))
+    flags = filled.unionByName(whole).groupBy("t").agg(F.max("placeholder").alias("placeholder"), F.max("whole_page").alias("whole_page"))
+    ids = salted_join(seen.select("doc_id", "t"), flags, ["t"], "inner", by="doc_id")
+    return ids.groupBy("doc_id").agg(F.max("placeholder").alias("placeholder"), F.max("whole_page").alias("whole_page"))
 
 
 def without_residue(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

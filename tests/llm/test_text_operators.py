@@ -75,6 +75,30 @@ def test_whole_pages(spark):
     assert {r["doc_id"] for r in R.without_residue(docs(spark, PAGES + ABOUT)).collect()} == set(range(len(PAGES) + 1, len(PAGES + ABOUT) + 1))
 
 
+def test_pages_of_any_length(spark):
+    lorem = "Lorem ipsum dolor sit amet consectetur elit"
+    texts = ["\n".join([lorem] * 41), "\n".join(f"{lorem} {i}" for i in range(400)), " ".join(["This is sample text to be replaced."] * 9), "Page not found\n" + "\n".join(["The requested page does not exist."] * 60)]
+    real = ["\n".join([lorem] * 41 + ["The hoist was greased on Monday by two fitters from the yard."])]
+    assert {r["doc_id"] for r in R.template_residue(docs(spark, texts + real)).collect()} == {1, 2, 3, 4}
+
+
+def test_lines_are_learned_from_pages(spark):
+    """A line that stands on error pages only is one, even on a page with no known line."""
+    line = "We looked everywhere but nothing lives at this location."
+    taught = [f"Error 404: Not Found\n{line}\nRequest id {k}" for k in range(7)]
+    texts = taught + [line, "The hoist was greased on Monday.", f"{line} The hoist was greased on Monday."]
+    assert {r["doc_id"] for r in R.template_residue(docs(spark, texts)).collect()} == set(range(1, 9))
+
+
+def test_slots_by_filled_records_and_single_places(spark):
+    texts = ["Dear [Name], your copy is ready.", "Dear Anna, your copy is ready.", "Dear Mr Bell, your copy is ready."]
+    alone = ["The policy {{policy_code}} covers all sheds."] * 50  # one place, copied
+    about = ["The template variable {{ title }} is replaced by the first heading."] * 50 + ["See [sic] in the list of authors."]
+    assert {r["doc_id"] for r in R.template_residue(docs(spark, texts + alone + about)).collect()} == {1, *range(4, 54)}
+    # nothing to align with, and a form that may be anything
+    assert R.template_residue(docs(spark, [texts[0]])).count() == 0
+
+
 def test_residue_edge_cases(spark):
     assert R.template_residue(docs(spark, []).limit(0)).count() == 0
     long = docs(spark, [None, " ".join(f"The {a}{b}{c} walks." for a in "abcdefghijklmnop" for b in "aeiouy" for c in "bcdfghjklmnpqrstvwxz" for _ in range(15)), PAGES[0], PAGES[0]])
