@@ -171,6 +171,44 @@ def test_scan_repair(spark):
     assert "31" not in out[n + 4]["clean"] and out[n + 8]["clean"] is None
 
 
+def test_headers_without_numbers():
+    """A header that repeats between the lines is furniture; a repeated sentence, question mark or version line is not."""
+    import random
+
+    rng = random.Random(8)
+    words = [w for b in BASE for w in b.split()]
+    furniture, headers = S.train_furniture(words), S.train_headers(words)
+    prose = lambda n: [" ".join(rng.choice(words) for _ in range(9)) for _ in range(n)]
+    page = [*prose(4), "THE PARISH LEDGER", *prose(6), "THE PARISH LEDGER", *prose(5), "THE PARISH LEDGER", *prose(3)]
+    apart = [*prose(4), "12", "", "THE PARISH LEDGER", *prose(6), "13", "", "THE PARISH LEDGER", *prose(5)]
+    for lines in (page, apart):
+        (clean, found), = S._without_furniture(["\n".join(lines)], furniture, headers)
+        assert found and "PARISH" not in clean and clean.count("\n") >= 10
+    same = "the older rule still applied in the margin notes"
+    fine = ["\n".join([*prose(3), same, *prose(3), same]), "Q:\nthe rule?\nA: The\nnotes.\n\nQ:\nthe boat?\nA: The\nshed.", "Version 1.2.3 of 2020-01-02\nAdded: the rule.\n\nVersion 1.2.4 of 2020-03-02\nAdded: the shed."]
+    assert [found for _, found in S._without_furniture(fine, furniture, headers)] == [False] * 3
+
+
+def test_unlisted_confusions_are_learned(spark):
+    """A letter for letter confusion that no table lists is repaired where it recurs and the page shows other noise."""
+    import itertools
+
+    stems = [a + b for a, b in itertools.product(("work", "port", "cord", "folk", "horn", "fort", "dolm"), ("shop", "man", "line", "ward"))]
+    prose = [f"the {a} near the {b} was kept by the {c} until the weekly review" for a, b, c in zip(stems, stems[3:] + stems[:3], stems[7:] + stems[:7])] * 9
+    prose = [f"{t} number {i}." for i, t in enumerate(prose)]
+    noisy = [f"the {w.replace('o', 'x', 1)} was kept un-\ntil the weekly review." for w in stems[:12]]
+    alone = ["the wxrkshop was kept until the weekly review."]
+    out = {r["record_id"]: r for r in S.repair_scans(records(spark, prose + noisy + alone)).collect()}
+    n = len(prose)
+    fixed = sum(out[n + 1 + k]["clean"] == f"the {w} was kept until the weekly review." for k, w in enumerate(stems[:12]))
+    assert fixed >= 10 and out[n + 13]["kinds"] == []
+
+
+def test_broken_words_beside_lines_with_digits():
+    assert [b[2:] for b in S.breaks("enough for the fin-\ning aid. 56 requests to set-\ntle it.")] == [("fin", "-", "ing"), ("set", "-", "tle")]
+    assert {("fin", "ding"), ("fin", "page")} <= set(S.halves("the fin-\n12\nPage head\nding aid"))
+
+
 def test_scan_edge_cases(spark):
     assert S.repair_scans(records(spark, []).limit(0)).count() == 0 and S.noisy_records(S.repair_scans(records(spark, []).limit(0))).count() == 0
     rec = records(spark, ["word " * 50_000, "x" * 200_000, None, "a-\nb", "-\n-", "\x0c"])
