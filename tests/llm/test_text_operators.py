@@ -123,7 +123,7 @@ def test_restore_inverts_reading():
 
 
 def test_encoding_repair(spark):
-    clean = CLEAN * 12
+    clean = [f"{t} ({i})" for i in range(12) for t in CLEAN]
     bad = [garble(t, "utf-8", "cp1252") for t in CLEAN] + [garble(t, "utf-8", "mac_roman") for t in CLEAN[:3]]
     part = CLEAN[0].replace("vérifié", garble("vérifié", "utf-8", "cp1252"))
     twice = garble(garble(CLEAN[4], "utf-8", "cp1252"), "utf-8", "cp1252")
@@ -139,6 +139,31 @@ def test_encoding_repair(spark):
     assert rest[0]["garbled"] and rest[0]["lossy"] and [r["garbled"] for r in rest[1:]] == [False] * 4 and rest[2]["restored"] is None
 
 
+def test_lost_characters_and_mentions(spark):
+    """``?`` for lost characters shows beside a clean twin only; a mark that stands alone is a mention."""
+    lossy = ["Der Pr?fer hat die Geb?hrenliste am sp?ten Nachmittag ge?ffnet.", "W�hrend der Pr�fung blieb das W�rterbuch g�ltig und vollst�ndig."]
+    fine = ["What is page?id=3 for, asked the reader of the list.", "A box with � means that the reader found no letter.", "Was it? The list?"]
+    out = {r["doc_id"]: r for r in E.repair_encoding(docs(spark, [f"{t} {i}" for i in range(3) for t in CLEAN] + lossy + fine)).collect()}
+    n = len(CLEAN) * 3
+    assert [out[n + 1 + k]["garbled"] for k in range(5)] == [True, True, False, False, False]
+    assert out[n + 1]["lossy"] and out[n + 1]["restored"] == CLEAN[3] and out[n + 2]["restored"] == CLEAN[4]
+
+
+def test_cyrillic_without_votes(spark):
+    """Cyrillic leaves no skeleton to find a twin by; its code pages are tried and judged by character pairs."""
+    clean = ["Следующий запрос не может быть выполнен без разрешения старшего мастера.", "Бригада вернула ключ на склад и записала время в журнал.", "В отчёте указано, что работа началась вовремя и без задержек."]
+    bad = [garble(clean[0], "cp1251", "cp1252"), garble(clean[1], "koi8-r", "cp1251"), garble(clean[2], "cp866", "cp1251")]
+    out = {r["doc_id"]: r for r in E.repair_encoding(docs(spark, [f"{t} {i}" for i in range(15) for t in clean] + bad)).collect()}
+    assert [out[46 + k]["restored"] for k in range(3)] == clean and not any(out[k]["garbled"] for k in range(1, 46))
+
+
+def test_garbled_copies_outnumber_the_clean_text(spark):
+    bad = [garble(t, "utf-8", "cp1252") for t in CLEAN]
+    out = {r["doc_id"]: r for r in E.repair_encoding(docs(spark, [f"{t} ({i})" for i in range(4) for t in CLEAN] + bad * 9)).collect()}
+    n = len(CLEAN) * 4
+    assert all(out[n + 1 + k]["restored"] == CLEAN[k % len(CLEAN)] for k in range(len(bad) * 9)) and not any(out[k]["garbled"] for k in range(1, n + 1))
+
+
 def test_encoding_edge_cases(spark):
     assert E.repair_encoding(docs(spark, []).limit(0)).count() == 0
     out = E.repair_encoding(docs(spark, [None, "é" * 200_000, "\xa0", "日本語のテキスト" * 1000])).collect()
