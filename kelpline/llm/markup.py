@@ -1,8 +1,10 @@
 """Markup residue in text documents: clean text that keeps headings, lists, code blocks and formulas.
 
-Method (line-block distribution): markup is stripped line by line into typed lines, the text lengths of
-the lines are summed over a sliding window, surge and dive points of that distribution are located, and
-the text between them is kept.  Structured lines (headings, lists, code, formulas) next to kept text stay.
+Method (line-block distribution): markup is stripped line by line into typed lines, the lengths of their
+text (link texts don't count) are summed over a sliding window, the first surge and the last dive of that
+distribution are located, and the text between them is kept, with headings, lists, code and formulas inside
+it.  What lies outside is page furniture: menus, footers, notices.  Only whole HTML pages have such
+furniture, so the windows decide there; of fragments and of the other families every line of text stays.
 
 Output format of the clean text: headings become ``# title`` (as many ``#`` as the level), list items
 ``- item``, code blocks are fenced with three backquotes, formulas stand between ``$$``.
@@ -83,6 +85,11 @@ MATH_ENVS = frozenset("equation equation* align align* displaymath math eqnarray
 CODE_ENVS = frozenset("verbatim lstlisting minted Verbatim alltt".split())
 #: what a text must hold to be worth looking at; texts without are clean as they are
 SUSPECT = re.compile(r"[<&`*#\[_{|\\$~=>]|^[ \t]*[-+][ \t]|^(?:'''?|---|\d{1,3}[.)] )|''", re.M)
+#: what shows a whole HTML page
+PAGE = re.compile(r"<(?:html|body|head|nav|footer|header|aside|main|article)\b|<!doctype", re.I)
+#: lines in a window, and the length at which it surges (half the fullest window, if that is less)
+WINDOW, SURGE = 3, 80
+ANCHOR = re.compile(r"(<a\b[^<>]*>)(.*?)(</a\s*>)", re.I | re.S)
 PROSE, HEADING, LIST, CODE_LINE, FORMULA, TABLE = range(6)
 
 
@@ -212,10 +219,13 @@ def convert(text: str) -> tuple[str, list[str]]:
         s = INLINE.sub(lambda m: found("latex", lambda k: stash((k[1] or k[2]).strip(), "i"))(m) if m[2] or MATH_MARK.search(m[1]) else m[0], s)
     if "`" in s:
         s = CODE.sub(found("markdown", lambda m: stash(m[2].strip(), "q")), s)
+    page = "<" in s and PAGE.search(s) is not None
     if "<" in s:
         s = COMMENT.sub(found("html", ""), s)
         s = DROPPED.sub(found("html", "\n"), s)
         s = re.sub(r"<h([1-6])\b[^<>]*>(.*?)</h\1\s*>", found("html", lambda m: f"\n\x01{m[1]} {' '.join(TAG.sub(' ', m[2]).split())}\n"), s, flags=re.I | re.S)
+        if page:  # link texts are marked, so that their lengths don't count
+            s = ANCHOR.sub(lambda m: f"{m[1]}\x06{m[2]}\x07{m[3]}", s)
         s = re.sub(r"<(?:li|dt|dd)\b[^<>]*>", found("html", "\n\x04 "), s, flags=re.I)
         s = re.sub(r"<t[dh]\b[^<>]*>", found("html", " \x05 "), s, flags=re.I)
         s = re.sub(r"</?(?:p|div|br|ul|ol|dl|tr|table|section|article|nav|footer|header|aside|main|blockquote|hr|body|html|form|figure)\b[^<>]*>", found("html", "\n"), s, flags=re.I)
@@ -330,39 +340,51 @@ def convert(text: str) -> tuple[str, list[str]]:
         texts = [t.replace("~", " ") if k == PROSE else t for t, k in zip(texts, kinds_of)]
     if not kinds:
         return text, []
-    body = _kept(texts, kinds_of, sorted(kinds))
+    body = _kept(texts, kinds_of, page)
     return _unstash(body, keep), sorted(kinds)
 
 
-def _kept(texts: list[str], kinds_of: list[int], kinds: list[str], window: int = 3, surge: int = 30) -> str:
-    """Line-block distribution: text between the first surge and the last dive, and structure inside it.
+LINKED = re.compile(r"\x06[^\x07]*(?:\x07|$)|^[^\x06\x07]*\x07")
 
-    The distribution is the text length summed over ``window`` lines.  A surge is a line where it reaches
-    ``surge``; the dive is where it falls to zero.  Only HTML pages have furniture around their text, so
-    for other families every line with any text passes.
-    """
-    length = np.array([0 if not t.strip() else len(t) if k != TABLE else len(t) for t, k in zip(texts, kinds_of)], dtype=np.int64)
-    if len(length) == 0:
-        return ""
-    block = np.convolve(length, np.ones(window, dtype=np.int64))[window - 1 :]
-    keep = np.zeros(len(length), dtype=bool)
-    if "html" in kinds and len(length) > window and block.max() >= surge:
-        on = False
-        for i, size in enumerate(block):
-            if not on and size >= surge:
-                on = True
-            if on and size == 0:
-                on = False
-            keep[i] = on
-    else:
-        keep[:] = True
-    for i, kind in enumerate(kinds_of):
-        if kind in (HEADING, CODE_LINE, FORMULA, LIST):
-            keep[i] = True
-    out = "\n".join(t.rstrip() for t, k in zip(texts, keep) if k)
+
+def _kept(texts: list[str], kinds_of: list[int], page: bool) -> str:
+    """Text between the first surge and the last dive of the line-block distribution of a page; else all of it."""
+    if page:
+        rows = [(t, k) for t, k in zip(texts, kinds_of) if t.strip(" \t\x06\x07")]  # blank lines of the source say nothing
+        first, last = _surge_and_dive([len(LINKED.sub("", t).strip(" -|")) for t, _ in rows], [k for _, k in rows])
+        inside = iter(range(len(rows)))
+        keep = [first <= next(inside) <= last if t.strip(" \t\x06\x07") else None for t in texts]
+        texts = [t for t, k in zip(texts, keep) if k is not False]
+    out = "\n".join(t.rstrip() for t in texts).replace("\x06", "").replace("\x07", "")
     return re.sub(r"\n{3,}", "\n\n", out).strip()
 
 
+def _surge_and_dive(length: list[int], kinds: list[int]) -> tuple[int, int]:
+    """First and last line of the text of a page; all lines where no window holds more than another."""
+    n = len(length)
+    if not n:
+        return 0, -1
+    size = np.array([max(x, SURGE) if k in (CODE_LINE, FORMULA) else x for x, k in zip(length, kinds)], dtype=np.int64)
+    block = np.convolve(size, np.ones(WINDOW, dtype=np.int64))
+    ahead, behind = block[WINDOW - 1 :], block[:n]
+    surge = min(SURGE, int(block.max()) / 2)
+    if block.max() < SURGE / 2:
+        return 0, n - 1
+    # the window that surges begins before the line that made it surge
+    first = int(np.argmax(ahead >= surge))
+    while first < n - 1 and size[first] < surge / WINDOW and kinds[first] != HEADING:
+        first += 1
+    while first and kinds[first - 1] == HEADING:
+        first -= 1
+    last = n - 1 - int(np.argmax(behind[::-1] >= surge))
+    while last > first and size[last] < surge / WINDOW:
+        last -= 1
+    # a list that ends the text belongs to it, unless it is made of links
+    while last < n - 1 and kinds[last + 1] in (LIST, TABLE) and size[last + 1] >= 3:
+        last += 1
+    return first, last
+
+
 def _unstash(text: str, keep: list[str]) -> str:
     def one(m: re.Match) -> str:
         body = _unstash(keep[int(m[2])], keep)

@@ -49,6 +49,27 @@ def test_structure_is_kept():
     assert M.convert("Gr\\\"un \\'el\\'eve \\ss{}")[0].startswith("Grün éléve ß")
 
 
+PAGE = """<html><body><ul class="nav"><li><a href="/">Home</a></li><li><a href="/a">About</a></li><li><a href="/c">Contact</a></li></ul>
+<h1>The weir</h1><p>The weir was built by the parish in the first year of the drought, and it was rebuilt after the second one.</p>
+
+<p>Agreed.</p>
+
+<p>The committee then asked for a survey of the banks, which took the better part of the summer to finish.</p>
+<h2>Parts</h2><ul><li>gate</li><li>sill</li></ul><p>All parts were painted before the winter, some of them twice, and the bill was paid by the county.</p>
+<div>Copyright 2020 Weir Board</div><div><a href="/i">Imprint</a> | <a href="/p">Privacy</a></div></body></html>"""
+
+
+def test_page_furniture_is_dropped_by_surge_and_dive():
+    clean, kinds = M.convert(PAGE)
+    for word in ("Home", "About", "Contact", "Copyright", "Imprint", "Privacy"):
+        assert word not in clean, clean
+    for word in ("# The weir", "built by the parish", "Agreed.", "survey of the banks", "## Parts", "- gate", "- sill", "paid by the county."):
+        assert word in clean, clean
+    # a fragment, or plain text with one entity, has no furniture
+    assert M.convert("Short.\n\n\nFish &amp; chips were served to the whole of the committee after the survey.")[0].startswith("Short.")
+    assert M.convert("<p>Long enough to be a paragraph of its own in any text.</p>\n\n<p>はい。</p>\n\n<p>Long enough to be a paragraph of its own.</p>")[0].count("はい。") == 1
+
+
 def test_markup_edge_cases(spark):
     df = docs(spark, [None, "", "x" * 300_000 + " **b**", "**b**", "**b**", "<" * 3000, "'''" * 2000, "[" * 3000, "{{" * 2000, "$" * 3001])
     out = M.clean_markup(df, keep=("doc_id",)).orderBy("doc_id").collect()
