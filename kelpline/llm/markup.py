@@ -89,8 +89,9 @@ SUSPECT = re.compile(r"[<&`*#\[_{|\\$~=>]|^[ \t]*[-+][ \t]|^(?:'''?|---|\d{1,3}[
 PAGE = re.compile(r"<(?:html|body|head|nav|footer|header|aside|main|article)\b|<!doctype", re.I)
 #: lines in a window, and the length at which it surges (half the fullest window, if that is less)
 WINDOW, SURGE = 3, 80
+FURNITURE = re.compile(r"(<(nav|footer|aside)\b[^<>]*)(>.*?)(</\2\s*>)", re.I | re.S)
 ANCHOR = re.compile(r"(<a\b[^<>]*>)(.*?)(</a\s*>)", re.I | re.S)
-PROSE, HEADING, LIST, CODE_LINE, FORMULA, TABLE = range(6)
+PROSE, HEADING, LIST, CODE_LINE, FORMULA, TABLE, PARAGRAPH = range(7)
 
 
 def _compose(mark: str, letter: str) -> str:
@@ -225,9 +226,13 @@ def convert(text: str) -> tuple[str, list[str]]:
         s = DROPPED.sub(found("html", "\n"), s)
         s = re.sub(r"<h([1-6])\b[^<>]*>(.*?)</h\1\s*>", found("html", lambda m: f"\n\x01{m[1]} {' '.join(TAG.sub(' ', m[2]).split())}\n"), s, flags=re.I | re.S)
         if page:  # link texts are marked, so that their lengths don't count
+            s = FURNITURE.sub(lambda m: m[1] + re.sub(r">([^<>]+)(?=<|$)", "> \x06\\1\x07", m[3]) + m[4], s)
             s = ANCHOR.sub(lambda m: f"{m[1]}\x06{m[2]}\x07{m[3]}", s)
         s = re.sub(r"<(?:li|dt|dd)\b[^<>]*>", found("html", "\n\x04 "), s, flags=re.I)
         s = re.sub(r"<t[dh]\b[^<>]*>", found("html", " \x05 "), s, flags=re.I)
+        if page:
+            s = re.sub(r"<su[bp]\b[^<>]*>", found("html", "\x0e"), s, flags=re.I)
+        s = re.sub(r"<p\b[^<>]*>", found("html", "\n\x0e" if page else "\n"), s, flags=re.I)
         s = re.sub(r"</?(?:p|div|br|ul|ol|dl|tr|table|section|article|nav|footer|header|aside|main|blockquote|hr|body|html|form|figure)\b[^<>]*>", found("html", "\n"), s, flags=re.I)
         s = TAG.sub(found("html", ""), s)
     if "&" in s:
@@ -334,6 +339,8 @@ def convert(text: str) -> tuple[str, list[str]]:
         elif (m := NUMBER.match(line)) and (i + 1 < n and NUMBER.match(lines[i + 1]) or i and NUMBER.match(lines[i - 1])):
             kinds.add("markdown")
             line, kind = f"{m[1]}. {m[2]}", LIST
+        if "\x05" in line and kind == PROSE:
+            kind = TABLE
         texts.append(line.replace("\x05", "|"))
         kinds_of.append(kind)
     if "latex" in kinds:
@@ -344,21 +351,27 @@ def convert(text: str) -> tuple[str, list[str]]:
     return _unstash(body, keep), sorted(kinds)
 
 
+MARKS = " \t\x06\x07\x0e"
+#: texts of links and of furniture elements
 LINKED = re.compile(r"\x06[^\x07]*(?:\x07|$)|^[^\x06\x07]*\x07")
 
 
 def _kept(texts: list[str], kinds_of: list[int], page: bool) -> str:
     """Text between the first surge and the last dive of the line-block distribution of a page; else all of it."""
     if page:
-        rows = [(t, k) for t, k in zip(texts, kinds_of) if t.strip(" \t\x06\x07")]  # blank lines of the source say nothing
-        first, last = _surge_and_dive([len(LINKED.sub("", t).strip(" -|")) for t, _ in rows], [k for _, k in rows])
+        rows = [(t, k) for t, k in zip(texts, kinds_of) if t.strip(MARKS)]  # blank lines of the source say nothing
+        first, last = _surge_and_dive([len(LINKED.sub("", t).strip(MARKS + "-|")) for t, _ in rows], [PARAGRAPH if "\x0e" in t else k for t, k in rows])
         inside = iter(range(len(rows)))
-        keep = [first <= next(inside) <= last if t.strip(" \t\x06\x07") else None for t in texts]
+        keep = [first <= next(inside) <= last if t.strip(MARKS) else None for t in texts]
         texts = [t for t, k in zip(texts, keep) if k is not False]
-    out = "\n".join(t.rstrip() for t in texts).replace("\x06", "").replace("\x07", "")
+    out = "\n".join(t.rstrip() for t in texts)
+    out = re.sub("[\x06\x07\x0e]", "", out)
     return re.sub(r"\n{3,}", "\n\n", out).strip()
 
 
+TOUCHING = frozenset((HEADING, LIST, TABLE, CODE_LINE, FORMULA, PARAGRAPH))
+
+
 def _surge_and_dive(length: list[int], kinds: list[int]) -> tuple[int, int]:
     """First and last line of the text of a page; all lines where no window holds more than another."""
     n = len(length)
@@ -372,15 +385,17 @@ def _surge_and_dive(length: list[int], kinds: list[int]) -> tuple[int, int]:
         return 0, n - 1
     # the window that surges begins before the line that made it surge
     first = int(np.argmax(ahead >= surge))
-    while first < n - 1 and size[first] < surge / WINDOW and kinds[first] != HEADING:
+    while first < n - 1 and size[first] < surge / WINDOW:
         first += 1
-    while first and kinds[first - 1] == HEADING:
-        first -= 1
     last = n - 1 - int(np.argmax(behind[::-1] >= surge))
     while last > first and size[last] < surge / WINDOW:
         last -= 1
-    # a list that ends the text belongs to it, unless it is made of links
-    while last < n - 1 and kinds[last + 1] in (LIST, TABLE) and size[last + 1] >= 3:
+    # headings, one title line, and short lines that are marked as text belong to the text they touch
+    title = True
+    while first and size[first - 1] and (kinds[first - 1] in TOUCHING or title and kinds[first - 1] == PROSE):
+        title &= kinds[first - 1] != PROSE
+        first -= 1
+    while last < n - 1 and size[last + 1] and kinds[last + 1] in TOUCHING:
         last += 1
     return first, last
 
