@@ -2,15 +2,21 @@
 
 * Points are reduced to distinct vectors; equal vectors share one representative that carries its at most
   ``k + 1`` smallest ids, which is all that any list of neighbours can need of them.
-* Centroids are trained by spherical k-means on a bounded sample (``SAMPLE`` vectors) and linked to a
-  neighbour graph.  Every executor searches that graph in memory; it holds at most ``MAX_CENTROIDS``.
+* Centroids are trained by spherical k-means on a bounded sample (at most ``SAMPLE`` vectors), in two levels
+  where there are many, and linked to a neighbour graph.  Their number grows with the points, up to
+  ``MAX_CENTROIDS``; every executor searches the graph in memory.
 * Every vector joins the posting list of its nearest centroid and, near a boundary, those of further
   centroids (at most ``REPLICAS``) whose distance is within ``BOUNDARY`` of the nearest.
-* Lists are balanced: one that is longer than ``2 * LIST_SIZE`` is split into salted parts and its queries
-  into as many blocks; every block meets every part, so no task holds an unbounded list, nor all its
-  queries, and no member is dropped.
 * A query visits its ``LEAST_PROBES`` nearest lists and those whose centroid distance is within ``RATIO`` of
   its nearest (at most ``PROBES``).
+* Neighbouring lists share a *shelf* of about ``SHELF`` lists.  A query's vector is sent once to each shelf,
+  with the lists it visits there, and only its best neighbours come back from it.
+* Shelves are balanced: one with more than ``SHELF_ROWS`` members is split into salted parts and its queries
+  into as many blocks; every block meets every part, so no task holds an unbounded list, nor all its
+  queries, and no member is dropped.
+
+Up to ``MAX_CENTROIDS * LIST_SIZE / 4`` vectors (8 million) lists keep their length, so work and shuffle grow
+with the number of vectors; beyond that lists grow, and a greater ``MAX_CENTROIDS`` is needed.
 
 Stated loss: with the defaults recall@5 against brute force is at least 0.9 (measured figures are in the
 README).  Similarities of found neighbours are exact.
@@ -28,12 +34,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.skew import salted_join
 from ..session import materialize
 
 K = 5
-SAMPLE = 40_000
-MAX_CENTROIDS = 16_384
+SAMPLE = 524_288
+MAX_CENTROIDS = 65_536
+#: sampled vectors per centroid, and the least sample
+PER_CENTROID, LEAST_SAMPLE = 8, 20_000
+#: centroids that one level of k-means may train
+ONE_LEVEL = 1024
 LIST_SIZE = 512
+SHELF, SHELF_ROWS = 16, 16_384
 REPLICAS = 3
 BOUNDARY = 1.08
 PROBES = 48
@@ -89,6 +101,17 @@ def kmeans(x: np.ndarray, n: int, rounds: int = 12, seed: int = 7) -> np.ndarray
     return c.astype(np.float32)
 
 
+def centroids_of(x: np.ndarray, n: int, seed: int = 7) -> np.ndarray:
+    """``n`` centroids; many are trained within the cells of a coarse k-means, in proportion to their members."""
+    if n <= ONE_LEVEL:
+        return kmeans(x, n, seed=seed)
+    coarse = kmeans(x, math.isqrt(n), rounds=6, seed=seed)
+    cell = np.concatenate([np.argmax(x[a : a + 8192] @ coarse.T, axis=1) for a in range(0, len(x), 8192)])
+    size = np.bincount(cell, minlength=len(coarse))
+    share = np.minimum(size, np.maximum(size > 0, np.round(n * size / len(x)).astype(np.int64)))
+    return np.concatenate([kmeans(x[cell == j], int(m), rounds=6, seed=seed) for j, m in enumerate(share) if m])
+
+
 class CentroidGraph:
     """Neighbour graph over unit centroids with a batched beam search from pivots."""
 
@@ -109,10 +132,6 @@ class CentroidGraph:
         """Indices and similarities of about the ``want`` nearest centroids of each row, best first."""
         n = len(self.c)
         beam = min(n, max(BEAM, want))
-        if n <= 2 * beam:
-            sim = q @ self.c.T
-            idx = np.argsort(-sim, axis=1, kind="stable")[:, :want]
-            return idx, np.take_along_axis(sim, idx, 1)
         sim = q @ self.c[self.pivots].T
         top = min(beam, sim.shape[1])
         part = np.argpartition(-sim, top - 1, axis=1)[:, :top]
@@ -151,76 +170,113 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
 
 def fit(reps: DataFrame, n: int, list_size: int = LIST_SIZE) -> np.ndarray:
     """Centroids from at most ``SAMPLE`` vectors, chosen by hash."""
-    take = min(1.0, SAMPLE / max(n, 1))
-    bound = int(take * 2**31)
-    rows = reps.where(F.pmod(F.xxhash64("rep", F.lit(11)), F.lit(2**31)) <= bound).select("vector").limit(SAMPLE * 2).toArrow()
+    want = min(MAX_CENTROIDS, max(1, round(2 * n * REPLICAS**0.5 / list_size)))
+    take = min(1.0, min(SAMPLE, max(LEAST_SAMPLE, PER_CENTROID * want)) / max(n, 1))
+    rows = reps.where(F.pmod(F.xxhash64("rep", F.lit(11)), F.lit(2**31)) <= int(take * 2**31)).select("vector").toArrow()
     column = rows.column("vector").combine_chunks()
     x = _unit(_matrix(column)).astype(np.float32)
-    want = int(min(MAX_CENTROIDS, max(1, round(2 * n * REPLICAS**0.5 / list_size)), max(1, len(x) // 8)))
-    return kmeans(x, want)
+    return centroids_of(x, min(want, max(1, len(x) // PER_CENTROID)))
 
 
-def _assign(centroids: np.ndarray, want: int, ratio: float, parts: dict[int, int] | None):
-    """Rows of (list, part) for each vector: postings without ``parts``, queries with them."""
-    graph = CentroidGraph(centroids)
+def shelves(centroids: np.ndarray) -> np.ndarray:
+    """The shelf of every list: neighbouring lists together."""
+    n = max(1, round(len(centroids) / SHELF))
+    heads = centroids_of(centroids, n)
+    return np.concatenate([np.argmax(centroids[a : a + 8192] @ heads.T, axis=1) for a in range(0, len(centroids), 8192)]).astype(np.int64)
+
+
+def _visits(graph: CentroidGraph, vectors: pa.ListArray, want: int, ratio: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, list)`` of the lists that each vector belongs to or visits, in order of rows."""
+    idx, sim = graph.search(_unit(_matrix(vectors)).astype(np.float32), want)
+    dist = np.sqrt(np.maximum(2 - 2 * sim, 1e-12))
+    keep = dist <= np.maximum(dist[:, :1] * ratio, 1e-5)
+    keep[:, :least] = True
+    row, col = np.nonzero(keep)
+    return row, idx[row, col].astype(np.int64)
+
+
+def _post(graph: CentroidGraph, shelf: np.ndarray):
+    """Rows ``(shelf, list, salt, rep, vector)``: the posting lists of each vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
-                q = _unit(_matrix(part.column("vector"))).astype(np.float32)
-                idx, sim = graph.search(q, want)
-                dist = np.sqrt(np.maximum(2 - 2 * sim, 1e-12))
-                keep = dist <= np.maximum(dist[:, :1] * ratio, 1e-5)
-                if parts is not None:
-                    keep[:, :LEAST_PROBES] = True
-                row, col = np.nonzero(keep)
-                lists = idx[row, col].astype(np.int64)
-                if parts is None:
-                    rep = np.asarray(part.column("rep"))[row]
-                    salt = (rep * 2654435761 >> 7) & 0xFFFF
-                    yield pa.RecordBatch.from_arrays([pa.array(lists), pa.array(salt), part.column("rep").take(pa.array(row)), part.column("vector").take(pa.array(row))], names=["list", "salt", "rep", "vector"])
-                else:
-                    times = np.array([parts.get(int(x), 0) for x in lists], np.int64)
-                    again = np.repeat(np.arange(len(lists)), times)
-                    within = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
-                    src = pa.array(row[again])
-                    # the queries of a split list are split likewise, so that each task sees one block of it
-                    block = (np.asarray(part.column("rep"))[row[again]] * 2654435761 >> 9 & 0xFFFF) % np.maximum(times[again], 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(lists[again]), pa.array(within), pa.array(block), part.column("rep").take(src), part.column("vector").take(src)], names=["list", "part", "block", "rep", "vector"])
+                row, lists = _visits(graph, part.column("vector"), REPLICAS, BOUNDARY, 0)
+                at = pa.array(row)
+                salt = (np.asarray(part.column("rep"))[row] * 2654435761 >> 7) & 0xFFFF
+                yield pa.RecordBatch.from_arrays([pa.array(shelf[lists]), pa.array(lists), pa.array(salt), part.column("rep").take(at), part.column("vector").take(at)], names=["shelf", "list", "salt", "rep", "vector"])
 
     return run
 
 
-def _search_lists(k: int):
+def _ask(graph: CentroidGraph, shelf: np.ndarray, parts: np.ndarray):
+    """Rows ``(shelf, part, block, lists, rep, vector)``: each query once per part of each shelf it visits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                row, lists = _visits(graph, part.column("vector"), PROBES, RATIO, LEAST_PROBES)
+                order = np.lexsort((lists, shelf[lists], row))
+                row, lists = row[order], lists[order]
+                on = shelf[lists]
+                first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (on[1:] != on[:-1])]) if len(row) else np.zeros(0, np.int64)
+                visited = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)].astype(np.int32)), pa.array(lists))
+                row, on = row[first], on[first]
+                times = parts[on]
+                again = np.repeat(np.arange(len(row)), times)
+                within = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
+                at = pa.array(row[again])
+                # the queries of a split shelf are split likewise, so that each task sees one block of it
+                block = (np.asarray(part.column("rep"))[row[again]] * 2654435761 >> 9 & 0xFFFF) % times[again]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(on[again]), pa.array(within.astype(np.int64)), pa.array(block.astype(np.int64)), visited.take(pa.array(again)), part.column("rep").take(at), part.column("vector").take(at)],
+                    names=["shelf", "part", "block", "lists", "rep", "vector"],
+                )
+
+    return run
+
+
+def _search_shelf(k: int):
+    """The ``k + 1`` best members for every query of a shelf, over the lists that it visits."""
+
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"rep": [], "other": [], "sim": []}).astype({"rep": "int64", "other": "int64", "sim": "float64"})
         if not len(left) or not len(right):
-            return pd.DataFrame({"rep": [], "other": [], "sim": []}).astype({"rep": "int64", "other": "int64", "sim": "float64"})
-        m = _unit(np.stack(right["vector"].to_numpy()).astype(np.float64))
-        mid = right["rep"].to_numpy()
-        order = np.argsort(mid)
-        m, mid = m[order], mid[order]
-        out = []
-        qid = left["rep"].to_numpy()
-        vectors = left["vector"].to_numpy()
-        for a in range(0, len(qid), 2048):
-            q = _unit(np.stack(vectors[a : a + 2048]).astype(np.float64))
-            s = np.round(q @ m.T, 12)
-            s[qid[a : a + 2048, None] == mid[None, :]] = -9
-            top = min(k + 1, s.shape[1])
-            # ties at the edge go to the smaller id: ids are in order, and a stable sort keeps it
-            edge = -np.partition(-s, top - 1, axis=1)[:, top - 1 : top]
-            row, col = np.nonzero((s >= edge) & (s > -9))
-            score = s[row, col]
-            o = np.lexsort((mid[col], -score, row))
-            row, col, score = row[o], col[o], score[o]
-            first = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1]) if len(row) else np.array([], np.int64)
-            rank = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
-            ok = rank < top
-            out.append(pd.DataFrame({"rep": qid[a : a + 2048][row[ok]], "other": mid[col[ok]], "sim": score[ok]}))
-        return pd.concat(out, ignore_index=True)
+            return none
+        member, lists = right["rep"].to_numpy(), right["list"].to_numpy()
+        order = np.lexsort((member, lists))
+        member, lists = member[order], lists[order]
+        m = _unit(np.stack(right["vector"].to_numpy()[order]).astype(np.float64))
+        query, q = left["rep"].to_numpy(), _unit(np.stack(left["vector"].to_numpy()).astype(np.float64))
+        visits = left["lists"].to_numpy()
+        row, want = np.repeat(np.arange(len(left)), [len(v) for v in visits]), np.concatenate(visits)
+        found = []
+        for x in np.unique(want):
+            a, b = np.searchsorted(lists, [x, x + 1])
+            rows = row[want == x]
+            if a == b:
+                continue
+            top = min(k + 1, b - a)
+            for c in range(0, len(rows), 2048):
+                at = rows[c : c + 2048]
+                s = np.round(q[at] @ m[a:b].T, 12)
+                s[query[at, None] == member[None, a:b]] = -9
+                # ties at the edge go to the smaller id, in the order by which they are ranked below
+                edge = -np.partition(-s, top - 1, axis=1)[:, top - 1 : top]
+                r, col = np.nonzero((s >= edge) & (s > -9))
+                found.append((at[r], member[a + col], s[r, col]))
+        row, other, sim = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        if not len(row):
+            return none
+        order = np.lexsort((other, -sim, row))
+        row, other, sim = row[order], other[order], sim[order]
+        new = np.r_[True, (row[1:] != row[:-1]) | (other[1:] != other[:-1])]  # a replica is found again right behind
+        row, other, sim = row[new], other[new], sim[new]
+        start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        ok = np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)])) <= k
+        return pd.DataFrame({"rep": query[row[ok]], "other": other[ok], "sim": sim[ok]})
 
     return run
 
@@ -239,34 +295,43 @@ def neighbours(points: DataFrame, id: str = "id", vector: str = "vector", k: int
     if n == 0:
         return points.sparkSession.createDataFrame([], schema)
     centroids = fit(reps, n, list_size)
-    postings = materialize(reps.select("rep", "vector").mapInArrow(_assign(centroids, REPLICAS, BOUNDARY, None), "list long, salt long, rep long, vector array<float>"), "postings")
-    # at most MAX_CENTROIDS rows: the sizes of the lists, to split the long ones
-    sizes = {r["list"]: r["n"] for r in postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = {x: max(1, math.ceil(s / list_size / 2)) for x, s in sizes.items()}
-    queries = reps.select("rep", "vector").mapInArrow(_assign(centroids, PROBES, RATIO, parts), "list long, part long, block long, rep long, vector array<float>")
-    lists = points.sparkSession.createDataFrame([(x, p) for x, p in parts.items()], "list long, many long")
-    members = postings.join(F.broadcast(lists), "list").select("list", F.pmod("salt", "many").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)).alias("block"), "rep", "vector")
-    found = queries.groupBy("list", "part", "block").cogroup(members.groupBy("list", "part", "block")).applyInPandas(_search_lists(k), "rep long, other long, sim double")
-    best = _top(found.distinct(), "rep", "other", "sim", k + 1)
-    return _expand(best, reps, clean, k)
-
-
-def _top(df: DataFrame, key: str, other: str, sim: str, k: int) -> DataFrame:
+    graph, shelf = CentroidGraph(centroids), shelves(centroids)
+    postings = materialize(reps.select("rep", "vector").mapInArrow(_post(graph, shelf), "shelf long, list long, salt long, rep long, vector array<float>"), "postings")
+    # at most MAX_CENTROIDS / SHELF rows: the sizes of the shelves, to split the long ones
+    parts = np.ones(int(shelf.max()) + 1, np.int64)
+    for r in postings.groupBy("shelf").agg(F.count(F.lit(1)).alias("n")).collect():
+        parts[r["shelf"]] = max(1, math.ceil(r["n"] / SHELF_ROWS))
+    queries = reps.select("rep", "vector").mapInArrow(_ask(graph, shelf, parts), "shelf long, part long, block long, lists array<long>, rep long, vector array<float>")
+    many = points.sparkSession.createDataFrame([(x, int(p)) for x, p in enumerate(parts)], "shelf long, many long")
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1))
+    members = postings.join(F.broadcast(many), "shelf").select("shelf", F.pmod("salt", "many").alias("part"), blocks.alias("block"), "list", "rep", "vector")
+    on = ("shelf", "part", "block")
+    found = queries.groupBy(*on).cogroup(members.groupBy(*on)).applyInPandas(_search_shelf(k), "rep long, other long, sim double")
+    return _expand(_top_distinct(found, "rep", "other", "sim", k + 1), reps, clean, k)
+
+
+def _top_distinct(df: DataFrame, key: str, other: str, sim: str, k: int) -> DataFrame:
+    """The ``k`` best rows of each key, each ``other`` once, by one shuffle on the key: equal rows share a dense rank."""
     w = Window.partitionBy(key).orderBy(F.col(sim).desc(), F.col(other))
-    return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
+    return df.withColumn("rn", F.dense_rank().over(w)).where(F.col("rn") <= k).groupBy(key, other).agg(F.max(sim).alias(sim))
 
 
 def _expand(best: DataFrame, reps: DataFrame, clean: DataFrame, k: int) -> DataFrame:
-    """From representatives back to points: ids of equal vectors are neighbours of similarity 1."""
-    ids = reps.select(F.col("rep").alias("other"), F.col("ids").alias("other_ids"))
-    wide = best.join(ids, "other").select("rep", "sim", F.explode("other_ids").alias("neighbour"))
-    own = reps.where(F.size("ids") > 1).select("rep", F.lit(1.0).alias("sim"), F.explode("ids").alias("neighbour"))
-    lists = _top(wide.unionByName(own), "rep", "neighbour", "sim", k + 1)
-    packed = lists.groupBy("rep").agg(F.collect_list(F.struct(F.col("sim"), F.col("neighbour"))).alias("list"))
+    """From representatives back to points: ids of equal vectors are neighbours of similarity 1.
+
+    Only vectors that several points share are looked up, by salted joins: one may be on a third of all points.
+    """
+    several = materialize(reps.where(F.size("ids") > 1), "shared")
+    wide = salted_join(best, several.select(F.col("rep").alias("other"), "ids"), ["other"], "left", by="rep")
+    wide = wide.select("rep", "sim", F.explode(F.coalesce("ids", F.array("other"))).alias("neighbour"))
+    own = several.select("rep", F.lit(1.0).alias("sim"), F.explode("ids").alias("neighbour"))
+    lists = _top_distinct(wide.unionByName(own), "rep", "neighbour", "sim", k + 1)
     # every point of a group of equal vectors reads the same k + 1 candidates and drops itself
-    single = reps.where(F.size("ids") == 1).select(F.col("rep").alias("id"), "rep")
-    shared = clean.join(reps.where(F.size("ids") > 1).select("rep", "vector"), "vector").select("id", "rep")
-    every = single.unionByName(shared).join(packed, "rep").select("id", F.explode("list").alias("x")).select("id", "x.neighbour", F.col("x.sim").alias("similarity")).where("id <> neighbour")
+    copies = salted_join(clean, several.select("rep", "vector"), ["vector"], "inner", by="id").select("id", "rep")
+    packed = lists.join(several.select("rep"), "rep", "left_semi").groupBy("rep").agg(F.collect_list(F.struct("sim", "neighbour")).alias("list"))
+    copied = salted_join(copies, packed, ["rep"], "inner", by="id").select("id", F.explode("list").alias("x")).select("id", "x.neighbour", F.col("x.sim").alias("similarity"))
+    single = lists.join(several.select("rep"), "rep", "left_anti").select(F.col("rep").alias("id"), "neighbour", F.col("sim").alias("similarity"))
+    every = single.unionByName(copied).where("id <> neighbour")
     w = Window.partitionBy("id").orderBy(F.col("similarity").desc(), F.col("neighbour"))
     return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "neighbour", "similarity", "rank")
 

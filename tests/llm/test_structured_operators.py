@@ -123,7 +123,18 @@ def test_centroid_graph_recall():
     q = K._unit(rng.normal(size=(200, 24))).astype(np.float32)
     idx, _ = K.CentroidGraph(c).search(q, 20)
     exact = np.argsort(-(q @ c.T), axis=1)[:, :20]
-    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(idx, exact)]) > 0.85
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(idx, exact)]) >= 0.9
+
+
+def test_two_levels_of_centroids_and_shelves():
+    rng = np.random.default_rng(4)
+    x = K._unit(rng.normal(size=(12_000, 8))).astype(np.float32)
+    c = K.centroids_of(x, 1500)
+    assert 1350 <= len(c) <= 1650 and np.allclose(np.linalg.norm(c, axis=1), 1, atol=1e-3)
+    near = np.max(x @ c.T, axis=1)
+    assert near.mean() > np.max(x @ x[:1500].T, axis=1)[1500:].mean()
+    on = K.shelves(c)
+    assert len(on) == len(c) and len(set(on)) <= round(len(c) / K.SHELF) and np.bincount(on).max() <= 8 * K.SHELF
 
 
 # -- packing ---------------------------------------------------------------------------------------
