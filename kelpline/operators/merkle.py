@@ -8,8 +8,10 @@ children, each bound to its place.  ``changed_leaves`` walks from the root and o
 differ, and only the records of changed leaves are compared.
 
 :class:`MerkleStore` keeps the snapshot of the last successful run.  ``commit`` writes the run's output,
-records and tree into a fresh folder and then publishes all three by creating one manifest file; a run
-that dies earlier leaves no trace that a later run could read, so records are neither skipped nor repeated.
+records and tree into a fresh folder and then publishes all three with one manifest file, which takes the
+number after the manifest that the run was planned against.  A run that dies earlier leaves no trace that a
+later run could read, and of two runs planned against the same manifest the second fails, so records are
+neither skipped nor repeated.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import materialize
+from ..session import materialize, shared_dir
+from .publish import Folder, numbered
 
 FANOUT_BITS = 4
 #: records a leaf holds on average; small leaves prune more, large ones make a smaller tree
@@ -123,69 +126,61 @@ def processed_records(file_state: DataFrame, sync_runs: DataFrame) -> DataFrame:
 def pending_files(scan_log: DataFrame, file_state: DataFrame, sync_runs: DataFrame, leaf_records: int = LEAF_RECORDS) -> DataFrame:
     """Files the next sync must process: ``(source_path, content_hash, change)``, each path once.
 
-    Both snapshots are written once to the shared folder, their trees are compared from the root, and
-    only records below changed leaves are joined.  Empty tables give an empty result; paths that only the
-    saved side knows are no work for a sync and are left out.
+    The saved side is a :class:`MerkleStore`, into which the recorded state is brought first; the next sync
+    is planned against its tree.  Empty tables give an empty result; paths that only the saved side knows
+    are no work for a sync and are left out.
     """
-    saved = materialize(processed_records(file_state, sync_runs), "saved")
-    current = materialize(current_records(scan_log), "current")
-    bits = leaf_bits_for(max(saved.count(), current.count()), leaf_records)
-    found = diff(current, saved, bits).where(F.col("change") != "deleted")
+    spark = scan_log.sparkSession
+    store = MerkleStore(spark, f"{shared_dir(spark)}/kelpline/{spark.sparkContext.applicationId}/merkle-{uuid.uuid4().hex}", leaf_records)
+    store.commit(processed_records(file_state, sync_runs))
+    found = store.plan(materialize(current_records(scan_log), "current")).where(F.col("change") != "deleted")
     return found.select(F.col("key").alias("source_path"), F.col("value").alias("content_hash"), "change")
 
 
 class MerkleStore:
-    """Snapshot of the last successful run under ``root``, published by manifest files.
+    """Snapshot of the last successful run under ``root``, published by numbered manifests.
 
-    ``plan(current)`` gives the changes against the last commit; ``commit(current, output)`` publishes
-    the run.  Manifests are numbered and made without overwriting, so of two competing runs one fails.
+    ``plan(current)`` gives the changes against the last manifest, and ``commit(current, output)`` publishes
+    the run as the one after it; :class:`~.publish.Conflict` is raised if another run was faster.  Without a
+    plan, ``commit`` counts as planned against the manifest that is there when it begins.
     """
 
     def __init__(self, spark: SparkSession, root: str, leaf_records: int = LEAF_RECORDS):
         self.spark, self.root, self.leaf_records = spark, root.rstrip("/"), leaf_records
-        self._jvm = spark.sparkContext._jvm
-        self._path = self._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._folder = Folder(spark, root)
+        self._planned: int | None = None
 
     def manifests(self) -> list[tuple[int, str]]:
-        if not self._fs.exists(self._path(self.root)):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
-        return sorted((int(n[9:-5]), f"{self.root}/{n}") for n in names if n.startswith("MANIFEST-") and n.endswith(".json"))
+        return numbered(self._folder.names(), "MANIFEST-")
 
     def last(self) -> dict | None:
         found = self.manifests()
-        if not found:
-            return None
-        text = self.spark.read.text(found[-1][1], wholetext=True).first()[0]
-        return json.loads(text) | {"number": found[-1][0]}
+        return json.loads(self._folder.read(found[-1][1])) | {"number": found[-1][0]} if found else None
 
     def plan(self, current: DataFrame) -> DataFrame:
         """Changes of ``current`` (``key, value, h``) against the last commit."""
         last = self.last()
+        self._planned = last["number"] if last else 0
         if last is None:
-            empty = current.limit(0)
-            return diff(current, empty, FANOUT_BITS)
+            return diff(current, current.limit(0), FANOUT_BITS)
         saved = self.spark.read.parquet(f"{last['run']}/records")
         saved_tree = self.spark.read.parquet(f"{last['run']}/tree")
         return diff(current, saved, last["leaf_bits"], saved_tree=saved_tree)
 
-    def commit(self, current: DataFrame, output: DataFrame, fail_before_publish: bool = False) -> str:
+    def commit(self, current: DataFrame, output: DataFrame | None = None, fail_before_publish: bool = False) -> str:
         """Write output, records and tree, then publish them together; returns the run's folder."""
-        last = self.last()
+        number = self._planned if self._planned is not None else (self.manifests() or [(0, "")])[-1][0]
         run = f"{self.root}/runs/{uuid.uuid4().hex}"
-        output.write.parquet(f"{run}/output")
+        if output is not None:
+            output.write.parquet(f"{run}/output")
         current.write.parquet(f"{run}/records")
         records = self.spark.read.parquet(f"{run}/records")
         bits = leaf_bits_for(records.count(), self.leaf_records)
-        tree(records, bits).write.partitionBy("level").parquet(f"{run}/tree")
+        tree(records, bits).write.parquet(f"{run}/tree")
         if fail_before_publish:
             raise RuntimeError("stopped before publishing")
-        number = (last["number"] + 1) if last else 1
-        target = self._path(f"{self.root}/MANIFEST-{number:09d}.json")
-        stream = self._fs.create(target, False)
-        stream.write(bytearray(json.dumps({"run": run, "leaf_bits": bits}), "utf-8"))
-        stream.close()
+        self._folder.publish(f"MANIFEST-{number + 1:09d}.json", json.dumps({"run": run, "leaf_bits": bits}))
+        self._planned = None
         return run
 
 

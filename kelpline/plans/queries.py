@@ -105,7 +105,7 @@ def symbols_listed(spark, d):
     files = table(spark, d, "source_files")
     body = text.universal_newlines(F.decode("content", "UTF-8"))
     body = F.when(symbols.language_of(F.col("extension")) == "php", body).otherwise(F.regexp_replace(body, "^﻿", ""))
-    found = files.select("file_id", F.explode(symbols.extract_symbols(body, F.col("extension"))).alias("s")).select("file_id", "s.*")
+    found = files.select("file_id", F.explode(symbols.extract_symbols(body, F.col("extension"), recover=False)).alias("s")).select("file_id", "s.*")
     found = found.where(F.col("symbol_type").isin("function", "method", "class", "struct"))
     spans = found.where(F.col("symbol_type").isin("function", "method")).select("file_id", F.col("line_start").alias("a"), F.col("line_end").alias("b"))
     nested = found.where("symbol_type = 'function'").join(spans, "file_id").where("line_start > a AND line_end <= b").select("file_id", "line_start").distinct()

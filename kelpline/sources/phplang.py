@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from .deep import deep_recursion
+
 OPEN_TAG = re.compile(r"<\?(?:php(?=\s|$)|=)", re.I)
 NAME = r"[A-Za-z_\x80-\U0010ffff][\w\x80-\U0010ffff]*"
 TOKEN = re.compile(
@@ -106,8 +108,33 @@ def _end_of_braced(text: str, at: int) -> int:
     raise SyntaxError("braces in a string never end")
 
 
-def tokenize(text: str) -> list[tuple]:
-    """``(kind, text, start, end)``; inline HTML becomes one ``;``, ``?>`` likewise."""
+def _token(text: str, pos: int) -> tuple[str, int]:
+    """Kind and end of the token at ``pos``."""
+    m = TOKEN.match(text, pos)
+    if not m:
+        raise SyntaxError(f"unknown character at {pos}")
+    kind, end = m.lastgroup, m.end()
+    if kind in ("q", "tag") or m.group("heredoc") is not None:
+        tag = m.group("tag")
+        stop = re.compile(rf"(?:^|(?<=\n))[ \t]*{re.escape(tag)}(?![\w\x80-\U0010ffff])").search(text, end)
+        if not stop:
+            raise SyntaxError("heredoc never ends")
+        if m.group("q") != "'":
+            at = end
+            while (at := text.find("{$", at, stop.start())) >= 0:
+                at = _end_of_braced(text, at + 1)
+        kind, end = "str", stop.end()
+    elif kind == "dq":
+        kind, end = "str", _end_of_quoted(text, end, text[end - 1])
+    elif kind == "sq":
+        kind = "str"
+    elif kind == "badblock":
+        raise SyntaxError("comment never ends")
+    return kind, end
+
+
+def tokenize(text: str, recover: bool = False) -> list[tuple]:
+    """``(kind, text, start, end)``; inline HTML becomes one ``;``, ``?>`` likewise.  ``recover`` passes over what is no token."""
     out, pos, n = [], 0, len(text)
     if text.startswith("#!"):
         pos = (text.find("\n") + 1) or n
@@ -121,26 +148,13 @@ def tokenize(text: str) -> list[tuple]:
         if m.group().endswith("="):
             out.append(("id", "echo", m.start(), pos))
         while pos < n:
-            m = TOKEN.match(text, pos)
-            if not m:
-                raise SyntaxError(f"unknown character at {pos}")
-            kind, end = m.lastgroup, m.end()
-            if kind in ("q", "tag") or m.group("heredoc") is not None:
-                tag = m.group("tag")
-                stop = re.compile(rf"(?:^|(?<=\n))[ \t]*{re.escape(tag)}(?![\w\x80-\U0010ffff])").search(text, end)
-                if not stop:
-                    raise SyntaxError("heredoc never ends")
-                if m.group("q") != "'":
-                    at = end
-                    while (at := text.find("{$", at, stop.start())) >= 0:
-                        at = _end_of_braced(text, at + 1)
-                kind, end = "str", stop.end()
-            elif kind == "dq":
-                kind, end = "str", _end_of_quoted(text, end, text[end - 1])
-            elif kind == "sq":
-                kind = "str"
-            elif kind == "badblock":
-                raise SyntaxError("comment never ends")
+            try:
+                kind, end = _token(text, pos)
+            except SyntaxError:
+                if not recover:
+                    raise
+                pos += 1
+                continue
             if kind == "close":
                 out.append(("op", ";", pos, end))
                 pos = end
@@ -153,8 +167,8 @@ def tokenize(text: str) -> list[tuple]:
 
 
 class Parser:
-    def __init__(self, text: str):
-        self.text, self.toks, self.i = text, tokenize(text), 0
+    def __init__(self, text: str, recover: bool = False):
+        self.text, self.toks, self.i = text, tokenize(text, recover), 0
         self.toks.append(("eof", "", len(text), len(text)))
         self.toks.append(("eof", "", len(text), len(text)))
 
@@ -406,79 +420,82 @@ class Parser:
     def members(self, item: Item) -> None:
         self.need("{")
         while not self.eat("}"):
-            self.attributes()
-            start = self.here()
-            t = self.t
-            if t == "use":
+            self.member(item)
+
+    def member(self, item: Item) -> None:
+        self.attributes()
+        start = self.here()
+        t = self.t
+        if t == "use":
+            self.i += 1
+            self.names([])
+            if self.t == "{":
                 self.i += 1
-                self.names([])
-                if self.t == "{":
-                    self.i += 1
-                    while not self.eat("}"):
-                        self.name(qualified=True)
-                        if self.eat("::"):
+                while not self.eat("}"):
+                    self.name(qualified=True)
+                    if self.eat("::"):
+                        self.name(reserved=True)
+                    if self.eat("insteadof"):
+                        self.names([])
+                    else:
+                        self.need("as")
+                        if self.t in ("public", "protected", "private"):
+                            self.i += 1
+                        if self.t != ";":
                             self.name(reserved=True)
-                        if self.eat("insteadof"):
-                            self.names([])
-                        else:
-                            self.need("as")
-                            if self.t in ("public", "protected", "private"):
-                                self.i += 1
-                            if self.t != ";":
-                                self.name(reserved=True)
-                        self.need(";")
-                else:
                     self.need(";")
-                continue
-            if t == "case" and item.kind == "enum":
-                self.i += 1
-                self.name(reserved=True)
-                if self.eat("="):
-                    self.expr()
+            else:
                 self.need(";")
-                continue
-            words = []
-            while self.t in MODIFIERS:
-                words.append(self.t)
+            return
+        if t == "case" and item.kind == "enum":
+            self.i += 1
+            self.name(reserved=True)
+            if self.eat("="):
+                self.expr()
+            self.need(";")
+            return
+        words = []
+        while self.t in MODIFIERS:
+            words.append(self.t)
+            self.i += 1
+            if self.t == "(" and self.ahead() == "set":
+                self.i += 2
+                self.need(")")
+        if self.eat("const"):
+            if not (self.toks[self.i + 1][1] == "="):
+                self.type()
+            while True:
+                self.name(reserved=True)
+                self.need("=")
+                self.expr()
+                if not self.eat(","):
+                    break
+            self.need(";")
+        elif self.eat("function"):
+            self.eat("&")
+            child = Item("method", self.name(reserved=True), start, modifiers=tuple(words))
+            self.signature(child)
+            if not self.eat(";"):
+                self.block()
+            child.end = self.last()
+            item.children.append(child)
+        elif words:
+            if self.kind != "var":
+                self.type()
+            while True:
+                if self.kind != "var":
+                    self.fail("expected a property")
                 self.i += 1
-                if self.t == "(" and self.ahead() == "set":
-                    self.i += 2
-                    self.need(")")
-            if self.eat("const"):
-                if not (self.toks[self.i + 1][1] == "="):
-                    self.type()
-                while True:
-                    self.name(reserved=True)
-                    self.need("=")
+                if self.eat("="):
                     self.expr()
-                    if not self.eat(","):
-                        break
-                self.need(";")
-            elif self.eat("function"):
-                self.eat("&")
-                child = Item("method", self.name(reserved=True), start, modifiers=tuple(words))
-                self.signature(child)
-                if not self.eat(";"):
-                    self.block()
-                child.end = self.last()
-                item.children.append(child)
-            elif words:
-                if self.kind != "var":
-                    self.type()
-                while True:
-                    if self.kind != "var":
-                        self.fail("expected a property")
-                    self.i += 1
-                    if self.eat("="):
-                        self.expr()
-                    if self.t == "{":
-                        self.hooks()
-                        break
-                    if not self.eat(","):
-                        self.need(";")
-                        break
-            else:
-                self.fail("expected a member")
+                if self.t == "{":
+                    self.hooks()
+                    break
+                if not self.eat(","):
+                    self.need(";")
+                    break
+        else:
+            self.fail("expected a member")
 
     def hooks(self) -> None:
         self.need("{")
@@ -939,11 +956,68 @@ class Parser:
                 return
 
 
-def parse(text: str) -> list[Item]:
-    """Items of a PHP file.  Raises ``SyntaxError`` where the file is not valid; too deep nesting counts so too."""
-    if text.startswith("﻿"):
+#: words that may begin a declaration, or a member of a class
+STARTS = MODIFIERS | frozenset("function class interface trait enum const case use namespace".split())
+
+
+class Tolerant(Parser):
+    """Items of a file with errors: bodies are passed over by their braces, and what fails up to the next declaration."""
+
+    def next_start(self, at: int, column: int | None = None) -> int:
+        """The next token that begins a line and may begin a declaration, no further right than ``column``."""
+        for i in range(at, len(self.toks)):
+            kind, word, start, _ = self.toks[i]
+            line = self.text.rfind("\n", 0, start) + 1
+            if kind == "eof" or (word in STARTS or kind == "attr") and not self.text[line:start].strip() and (column is None or start - line <= column):
+                return i
+        return len(self.toks) - 1
+
+    def column(self, i: int) -> int:
+        line = self.text.rfind("\n", 0, self.toks[i][2]) + 1
+        return len(self.text[line:]) - len(self.text[line:].lstrip(" \t"))
+
+    def block(self) -> None:
+        at, depth = self.i, 0
+        self.need("{")
+        self.i = at
+        while self.kind != "eof":
+            depth += (self.t == "{") - (self.t == "}")
+            self.i += 1
+            if not depth:
+                return
+        self.i = self.next_start(at + 1, self.column(at))  # never closed: it ends where a declaration stands as far left
+
+    def members(self, item: Item) -> None:
+        self.need("{")
+        while self.kind != "eof" and not self.eat("}"):
+            at = self.i
+            try:
+                self.member(item)
+            except (SyntaxError, IndexError):
+                self.i = at + 1
+                while self.kind != "eof" and self.t != "}" and self.next_start(self.i) != self.i:
+                    if self.t == "{":
+                        self.block()
+                    else:
+                        self.i += 1
+
+    def file(self) -> list[Item]:
+        out: list[Item] = []
+        while self.kind != "eof":
+            at = self.i
+            try:
+                self.statement(out, top=True)
+            except (SyntaxError, IndexError):
+                self.i = self.next_start(at + 1)
+        return out
+
+
+def parse(text: str, recover: bool = False) -> list[Item]:
+    """Items of a PHP file.  Raises ``SyntaxError`` where the file is not valid, unless it shall ``recover``; nesting may be of any depth."""
+    if text.startswith("\ufeff"):
         text = " " + text[1:]
-    try:
-        return Parser(text).file()
-    except (IndexError, RecursionError) as exc:
-        raise SyntaxError(str(exc)) from exc
+    with deep_recursion(len(text)):
+        try:
+            return (Tolerant(text, True) if recover else Parser(text)).file()
+        except IndexError as exc:
+            raise SyntaxError(str(exc)) from exc

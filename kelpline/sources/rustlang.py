@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from .deep import deep_recursion
+
 TOKEN = re.compile(
     r"""
     (?P<ws>\s+)
@@ -66,43 +68,54 @@ class Item:
     has_body: bool = False
 
 
-def tokenize(text: str) -> list[list]:
-    """``[kind, text, start, end]`` without blanks and comments; raises ``SyntaxError``."""
+def _token(text: str, pos: int) -> tuple[str, int]:
+    """Kind and end of the token at ``pos``."""
+    m = TOKEN.match(text, pos)
+    if not m:
+        raise SyntaxError(f"unknown character at {pos}")
+    kind, end = m.lastgroup, m.end()
+    if kind == "hash" or (kind is not None and m.group("raw") is not None):
+        close = '"' + m.group("hash")
+        at = text.find(close, end)
+        if at < 0:
+            raise SyntaxError("raw string never ends")
+        kind, end = "str", at + len(close)
+    elif kind == "block":
+        depth, at = 1, end
+        while depth:
+            nxt = re.compile(r"/\*|\*/").search(text, at)
+            if not nxt:
+                raise SyntaxError("comment never ends")
+            depth += 1 if nxt.group() == "/*" else -1
+            at = nxt.end()
+        return "block", at
+    return kind, end
+
+
+def tokenize(text: str, recover: bool = False) -> list[list]:
+    """``[kind, text, start, end]`` without blanks and comments; raises ``SyntaxError``, or passes over what is no token."""
     out, pos, n = [], 0, len(text)
     if text.startswith("﻿"):
         pos = 1
     if text.startswith("#!", pos) and not re.match(r"#!\s*\[", text[pos:]):
         pos = (text.find("\n", pos) + 1) or n
     while pos < n:
-        m = TOKEN.match(text, pos)
-        if not m:
-            raise SyntaxError(f"unknown character at {pos}")
-        kind, end = m.lastgroup, m.end()
-        if kind == "hash" or (kind is not None and m.group("raw") is not None):
-            close = '"' + m.group("hash")
-            at = text.find(close, end)
-            if at < 0:
-                raise SyntaxError("raw string never ends")
-            kind, end = "str", at + len(close)
-        elif kind == "block":
-            depth, at = 1, end
-            while depth:
-                nxt = re.compile(r"/\*|\*/").search(text, at)
-                if not nxt:
-                    raise SyntaxError("comment never ends")
-                depth += 1 if nxt.group() == "/*" else -1
-                at = nxt.end()
-            pos = at
+        try:
+            kind, end = _token(text, pos)
+        except SyntaxError:
+            if not recover:
+                raise
+            pos += 1
             continue
-        if kind not in ("ws", "doc", "line"):
+        if kind not in ("ws", "doc", "line", "block"):
             out.append([kind, text[pos:end], pos, end])
         pos = end
     return out
 
 
 class Parser:
-    def __init__(self, text: str):
-        self.text, self.toks, self.i = text, tokenize(text), 0
+    def __init__(self, text: str, recover: bool = False):
+        self.text, self.toks, self.i = text, tokenize(text, recover), 0
         self.toks.append(["eof", "", len(text), len(text)])
 
     # -- token access ----------------------------------------------------------------------------
@@ -1102,9 +1115,69 @@ class Parser:
                     return
 
 
-def parse(text: str) -> list[Item]:
-    """Items of a Rust file.  Raises ``SyntaxError`` where the file is not valid; too deep nesting counts so too."""
-    try:
-        return Parser(text).file()
-    except (IndexError, RecursionError) as exc:
-        raise SyntaxError(str(exc)) from exc
+#: words that may begin an item
+STARTS = frozenset("pub fn struct enum trait impl mod const static type use extern unsafe async macro_rules union #".split())
+
+
+class Tolerant(Parser):
+    """Items of a file with errors: bodies are passed over by their braces, and what fails up to the next item."""
+
+    def next_start(self, at: int, column: int | None = None) -> int:
+        """The next token that begins a line and may begin an item, no further right than ``column``."""
+        for i in range(at, len(self.toks)):
+            kind, word, start, _ = self.toks[i]
+            line = self.text.rfind("\n", 0, start) + 1
+            if kind == "eof" or word in STARTS and not self.text[line:start].strip() and (column is None or start - line <= column):
+                return i
+        return len(self.toks) - 1
+
+    def column(self, i: int) -> int:
+        line = self.text.rfind("\n", 0, self.toks[i][2]) + 1
+        return len(self.text[line:]) - len(self.text[line:].lstrip(" \t"))
+
+    def block(self) -> None:
+        at, depth = self.i, 0
+        self.need("{")
+        self.i = at
+        while self.kind != "eof":
+            depth += (self.t == "{") - (self.t == "}")
+            self.i += 1
+            if not depth:
+                return
+        self.i = self.next_start(at + 1, self.column(at))  # never closed: it ends where an item stands as far left
+
+    def some_items(self, out: list[Item], inside: str = "") -> None:
+        """One item, or what has to be passed over to reach the next."""
+        at = self.i
+        try:
+            out.append(self.item(inside))
+        except (SyntaxError, IndexError):
+            self.i = at + 1
+            while self.kind != "eof" and self.t != "}" and self.next_start(self.i) != self.i:
+                if self.t == "{":
+                    self.block()
+                else:
+                    self.i += 1
+
+    def members(self, item: Item, inside: str) -> None:
+        self.need("{")
+        item.has_body = True
+        while self.kind != "eof" and not self.eat("}"):
+            self.some_items(item.children, inside)
+
+    def file(self) -> list[Item]:
+        out: list[Item] = []
+        while self.kind != "eof":
+            self.some_items(out)
+            while self.eat("}"):
+                pass
+        return out
+
+
+def parse(text: str, recover: bool = False) -> list[Item]:
+    """Items of a Rust file.  Raises ``SyntaxError`` where the file is not valid, unless it shall ``recover``; nesting may be of any depth."""
+    with deep_recursion(len(text)):
+        try:
+            return (Tolerant(text, True) if recover else Parser(text)).file()
+        except IndexError as exc:
+            raise SyntaxError(str(exc)) from exc

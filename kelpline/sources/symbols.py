@@ -30,31 +30,37 @@ def _symbol(name, kind, content, language, start, end, qualified=None, doc=None,
 
 # -- Python --------------------------------------------------------------------------------------------
 def python_symbols(text: str, stem: str = "") -> list[dict]:
-    """Functions, methods, classes, upper-case module constants and the module docstring, breadth first."""
+    """Functions, classes each with its methods right behind, upper-case module constants and the module docstring; outer ones first."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
         return []
-    lines = text.splitlines()
+    lines = text.split("\n")
     cut = lambda node: "\n".join(lines[node.lineno - 1 : node.end_lineno])
     out = []
     if doc := ast.get_docstring(tree):
         out.append(_symbol("__module__", "module", doc, "python", 1, 1, qualified=f"{stem}.__module__", doc=doc))
-    owner = {id(f): c.name for c in ast.walk(tree) if isinstance(c, ast.ClassDef) for f in c.body}
+    kinds = (ast.FunctionDef, ast.AsyncFunctionDef)
+
+    def function(node, box: str | None = None) -> dict:
+        args = ", ".join(a.arg + (f": {ast.unparse(a.annotation)}" if a.annotation else "") for a in node.args.args)
+        returns = f" -> {ast.unparse(node.returns)}" if node.returns else ""
+        return _symbol(
+            node.name, "method" if box else "function", cut(node), "python", node.lineno, node.end_lineno, qualified=f"{box}.{node.name}" if box else node.name,
+            doc=ast.get_docstring(node), signature=f"({args}){returns}", parent=box, decorators=[ast.unparse(d) for d in node.decorator_list], is_async=isinstance(node, ast.AsyncFunctionDef),
+        )
+
+    methods = {id(f) for c in ast.walk(tree) if isinstance(c, ast.ClassDef) for f in c.body if isinstance(f, kinds)}
     for node in ast.walk(tree):
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            box = owner.get(id(node))
-            args = ", ".join(a.arg + (f": {ast.unparse(a.annotation)}" if a.annotation else "") for a in node.args.args)
-            returns = f" -> {ast.unparse(node.returns)}" if node.returns else ""
-            out.append(_symbol(
-                node.name, "method" if box else "function", cut(node), "python", node.lineno, node.end_lineno, qualified=f"{box}.{node.name}" if box else node.name,
-                doc=ast.get_docstring(node), signature=f"({args}){returns}", parent=box, decorators=[ast.unparse(d) for d in node.decorator_list], is_async=isinstance(node, ast.AsyncFunctionDef),
-            ))
+        if isinstance(node, kinds):
+            if id(node) not in methods:
+                out.append(function(node))
         elif isinstance(node, ast.ClassDef):
             bases = [ast.unparse(b) for b in node.bases]
             out.append(_symbol(node.name, "class", cut(node), "python", node.lineno, node.end_lineno, doc=ast.get_docstring(node), signature=f"({', '.join(bases)})" if bases else None, bases=bases, decorators=[ast.unparse(d) for d in node.decorator_list]))
+            out += [function(f, node.name) for f in node.body if isinstance(f, kinds)]
         elif isinstance(node, ast.Assign) and node in tree.body:
             out += [_symbol(t.id, "constant", cut(node), "python", node.lineno, node.end_lineno) for t in node.targets if isinstance(t, ast.Name) and t.id.isupper()]
     return out
@@ -88,12 +94,12 @@ def _php_doc(text: str, at: int) -> str | None:
     return clean_comment(m.group()) or None if m else None
 
 
-def php_symbols(text: str) -> list[dict]:
-    """Functions, classes, interfaces, traits, methods and top-level constants; none of invalid files."""
+def php_symbols(text: str, recover: bool = True) -> list[dict]:
+    """Functions, classes, interfaces, traits, methods and top-level constants; of a file with errors those that can be told."""
     try:
         items = phplang.parse(text)
     except SyntaxError:
-        return []
+        items = phplang.parse(text, recover=True) if recover else []
     t = _Text(text)
 
     def one(item, kind, parent=None):
@@ -139,12 +145,12 @@ def _rust_doc(text: str, at: int) -> str | None:
     return "\n".join(reversed(got)).strip() or None
 
 
-def rust_symbols(text: str) -> list[dict]:
-    """Functions, structs, enums, traits, impls, aliases, constants, statics, macros and inline modules."""
+def rust_symbols(text: str, recover: bool = True) -> list[dict]:
+    """Functions, structs, enums, traits, impls, aliases, constants, statics, macros and inline modules; of a file with errors those that can be told."""
     try:
         items = rustlang.parse(text)
     except SyntaxError:
-        return []
+        items = rustlang.parse(text, recover=True) if recover else []
     t = _Text(text)
     out: list[dict] = []
 
@@ -207,15 +213,15 @@ def rust_symbols(text: str) -> list[dict]:
     return out
 
 
-def symbols_of(text: str | None, language: str | None, stem: str = "") -> list[dict] | None:
+def symbols_of(text: str | None, language: str | None, stem: str = "", recover: bool = True) -> list[dict] | None:
     if text is None:
         return None
     if language == "python":
         return python_symbols(text, stem)
     if language == "php":
-        return php_symbols(text)
+        return php_symbols(text, recover)
     if language == "rust":
-        return rust_symbols(text)
+        return rust_symbols(text, recover)
     return None
 
 
@@ -228,10 +234,14 @@ def language_of(extension: Column) -> Column:
 
 
 @F.udf(T.ArrayType(SYMBOL), useArrow=True)
-def _extract(text, language, stem):
-    return symbols_of(text, language, stem or "")
+def _extract(text, language, stem, recover):
+    return symbols_of(text, language, stem or "", recover)
+
 
+def extract_symbols(text: Column, extension: Column, stem: Column | None = None, recover: bool = True) -> Column:
+    """``array<struct>`` of symbols; null where the extension is no code.
 
-def extract_symbols(text: Column, extension: Column, stem: Column | None = None) -> Column:
-    """``array<struct>`` of symbols; null where the extension is no code, empty where the file does not parse."""
-    return _extract(text, language_of(extension), F.lit("") if stem is None else stem)
+    Of a PHP or Rust file with errors it holds what can be told, or nothing without ``recover``; a Python
+    file with errors has no symbols.
+    """
+    return _extract(text, language_of(extension), F.lit("") if stem is None else stem, F.lit(recover))

@@ -59,3 +59,35 @@ def test_deep_nesting_is_an_error_not_a_crash():
     for parse, text in ((rustlang.parse, "fn f() { " + "(" * 20000), (phplang.parse, "<?php " + "(" * 20000)):
         with pytest.raises(SyntaxError):
             parse(text)
+
+
+def test_nesting_of_any_depth():
+    for n in (400, 5000):
+        assert phplang.parse("<?php $x = " + "(" * n + "1" + ")" * n + ";") == []
+        with pytest.raises(SyntaxError):
+            phplang.parse("<?php $x = " + "(" * n + "1" + ")" * (n - 1) + ";")
+        assert [i.name for i in rustlang.parse("fn f() { let x = " + "(" * n + "1" + ")" * n + "; }")] == ["f"]
+    assert len(phplang.parse("<?php function f() " + "{ if (1) " * 3000 + "{}" + "}" * 3000)) == 1
+
+
+def test_symbols_of_files_with_errors():
+    from kelpline.sources import symbols as S
+
+    php = "<?php\nfunction first($a) { return 1; }\nfunction broken( { $x = ; }\nclass K {\n    public function m() { $x = = 2; }\n    public $ = ;\n    private function n(): int { return 3; }\n}\nfunction open_end() {\n    if (1) {\nfunction last() { }\n"
+    names = [s["qualified_name"] for s in S.php_symbols(php)]
+    assert [n for n in names if n in ("first", "K", "K.m", "K.n", "last")] == ["first", "K", "K.m", "K.n", "last"]
+    rust = "fn first() { let x = ; }\nfn (broken) {}\nstruct S { a: u8 }\nimpl S {\n    fn m(&self) { a == b == c }\n    fn ] { }\n    pub fn n() {}\n}\nfn open_end() {\n    if x {\nfn last() {}\n"
+    names = [s["qualified_name"] for s in S.rust_symbols(rust)]
+    assert [n for n in names if n in ("first", "S", "S.m", "S.n", "last")][:2] == ["first", "S"] and {"S.m", "S.n", "last"} <= set(names)
+    for junk in ("<?php '", "<?php {{{", "<?php }}} function", "fn", "}}}", "impl {", '"', "/*", "", "<?php class", "trait T { fn"):
+        S.php_symbols(junk)
+        S.rust_symbols(junk)
+
+
+def test_python_symbols_keep_lines_and_order():
+    from kelpline.sources import symbols as S
+
+    text = 'X = 1\x0c\n\x0c\nclass A:\n    def m(self):\n        return "\x85"\n\n    class B:\n        def k(self): pass\n\n\ndef f():\n    return 2\n'
+    got = S.python_symbols(text)
+    assert [s["qualified_name"] for s in got] == ["X", "A", "A.m", "f", "B", "B.k"]
+    assert {s["name"]: s["content"] for s in got}["f"] == "def f():\n    return 2"

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kelpline.operators import merkle as M
+from kelpline.operators.publish import Conflict
 
 LOG = "obs_id long, source_path string, repository string, modified_time double, content_hash string, size long, received_at timestamp, key string, h long"
 STATE = "path string, content_hash string, indexed_at string, chunk_count int, chunk_ids array<long>, mtime double, image_count int, image_ids array<long>, run_id long, value string"
@@ -96,6 +97,31 @@ def test_store_publishes_output_and_tree_together(spark, tmp_path):
     assert st.plan(two).count() == 0 and len(st.manifests()) == 2
 
 
+def test_the_slower_of_two_runs_fails(spark, tmp_path):
+    snap = lambda rows: M.snapshot(spark.createDataFrame(rows, "p string, c string"), "p", "c")
+    one, two = (M.MerkleStore(spark, f"file://{tmp_path}/store") for _ in range(2))
+    one.commit(snap([("a", "1")]))
+    now = snap([("a", "1"), ("b", "1")])
+    plans = [s.plan(now) for s in (one, two)]
+    assert [{r["key"] for r in p.collect()} for p in plans] == [{"b"}, {"b"}]
+    one.commit(now, plans[0])
+    with pytest.raises(Conflict):
+        two.commit(now, plans[1])
+    assert two.plan(now).count() == 0 and len(two.manifests()) == 2  # planned anew, nothing is left to do
+    two.commit(now)
+    assert len(one.manifests()) == 3
+
+
+def test_half_written_manifest_is_invisible(spark, tmp_path):
+    st = M.MerkleStore(spark, f"file://{tmp_path}/store")
+    one = M.snapshot(spark.createDataFrame([("a", "1")], "p string, c string"), "p", "c")
+    st.commit(one)
+    (tmp_path / "store" / ".MANIFEST-000000002.json.dead").write_text('{"run": "')
+    assert st.last()["number"] == 1 and st.plan(one).count() == 0
+    st.commit(one)
+    assert st.last()["number"] == 2 and not [n for n in (tmp_path / "store").iterdir() if n.name == ".MANIFEST-000000002.json"]
+
+
 def test_latest_per_key_and_repeated_keys(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", None, "y"), ("b", 2, "z")], "k string, t int, v string")
     assert {(r["k"], r["v"]) for r in M.latest_per_key(df, "k", "t").collect()} == {("a", "x"), ("b", "z")}
