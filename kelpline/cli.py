@@ -18,7 +18,7 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
 
     def common(q, collection=True):
-        q.add_argument("-u", "--store")
+        q.add_argument("-u", "--store", "--url")
         q.add_argument("-q", "--quiet", action="store_true")
         if collection:
             q.add_argument("-c", "--collection", required=True)
@@ -33,7 +33,7 @@ def parser() -> argparse.ArgumentParser:
     q = sub.add_parser("index")
     files(q)
     common(q)
-    q.add_argument("-m", "--model", default=embed.DEFAULT_MODEL)
+    q.add_argument("-m", "--model", "--embedding-model", default=embed.DEFAULT_MODEL)
     q.add_argument("--chunk-size", type=int, default=1536)
     q.add_argument("--chunk-overlap", type=int, default=200)
     q.add_argument("--chunker", default="auto")
@@ -42,7 +42,11 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("-w", "--workers", type=int)
     q.add_argument("--full", action="store_true")
     q.add_argument("--incremental", dest="full", action="store_false")
-    q.add_argument("-v", "--verbose", action="store_true")
+    q.add_argument("-v", "--verbose", action="count", default=0)
+    q.add_argument("--gpu", "--cuda", action="store_true")
+    q.add_argument("--images", action=argparse.BooleanOptionalAction, default=False)
+    q.add_argument("--image-model", "--clip-model", default=embed.DEFAULT_IMAGE_MODEL)
+    q.add_argument("--min-image-size", type=int, default=100)
     q = sub.add_parser("status")
     files(q)
     common(q, collection=False)
@@ -61,7 +65,7 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("-t", "--target")
     q.add_argument("--local", action="store_true")
     q.add_argument("-f", "--force", action="store_true")
-    for name in ("list-models", "list-image-models"):
+    for name in ("list-models", "list-image-models", "list-clip-models"):
         sub.add_parser(name).add_argument("search", nargs="?")
     return p
 
@@ -84,7 +88,7 @@ def main(args: list[str] | None = None, spark=None) -> int:
             return 1
         return 0
     spark = spark or local_session("*")
-    if a.command in ("list-models", "list-image-models"):
+    if a.command in ("list-models", "list-image-models", "list-clip-models"):
         registry = embed.MODELS if a.command == "list-models" else embed.IMAGE_MODELS
         for row in embed.models_table(spark, a.search, registry).toLocalIterator():
             say(f"{row['model']}\t{row['size']}\t{row['description']}")
@@ -103,24 +107,26 @@ def main(args: list[str] | None = None, spark=None) -> int:
         if _ask(f"Delete {a.name}?", a.yes):
             store.delete(a.name)
         return 0
-    from .engine import Engine, default_state_file
+    from .engine import ANY, Engine
 
     patterns = a.pattern or list(DEFAULT_INDEX_PATTERNS)
     exclude = [*a.exclude, *(() if a.no_default_excludes else DEFAULT_EXCLUDE_PATTERNS)]
-    directory = os.path.abspath(a.path)
-    if not os.path.isdir(directory):
+    directory, state = os.path.abspath(a.path), a.state_file
+    if not os.path.exists(directory) or a.command != "index" and not os.path.isdir(directory):
         print(f"no directory {directory}", file=sys.stderr)
         return 1
-    state = a.state_file or default_state_file(directory)
-    if a.command in ("status", "clean") and not os.path.exists(state):
-        say("No state file; run index first.")
+    if a.command in ("status", "clean") and not Engine(spark, root, ANY).has_state(directory, state):
+        say("No saved state; run index first.")
         return 0 if a.command == "status" else 1
     try:
         if a.command == "index":
-            engine = Engine(spark, root, a.collection, a.model, a.chunker, a.chunk_size, a.chunk_overlap, (lambda e, i, n, m: say(e, m)) if a.verbose else None)
-            result = engine.index(directory, patterns, exclude) if a.full else engine.sync(directory, state, patterns, exclude)
+            if a.gpu and "CUDAExecutionProvider" not in embed.providers(True):
+                print("no GPU here, models run on the CPU", file=sys.stderr)
+            report = (lambda e, i, n, m: say(e, m)) if a.verbose else None
+            engine = Engine(spark, root, a.collection, a.model, a.chunker, a.chunk_size, a.chunk_overlap, report, a.images, a.image_model, a.min_image_size)
+            result = engine.index_file(directory) if os.path.isfile(directory) else engine.index(directory, patterns, exclude) if a.full else engine.sync(directory, state, patterns, exclude)
         else:
-            engine = Engine(spark, root, getattr(a, "collection", None) or "-")
+            engine = Engine(spark, root, getattr(a, "collection", None) or ANY)
             if a.command == "status":
                 result = engine.status(directory, state, patterns, exclude)
             elif _ask("Remove these points?", a.yes):

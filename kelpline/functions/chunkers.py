@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import htmltree
-from .embed import DEFAULT_MODEL, MODELS
+from .embed import DEFAULT_MODEL, loaded
 
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 
@@ -265,7 +265,7 @@ def semantic(text: str, chunk_size: int = 1500, min_chunk_size: int = 200, simil
         if len(segments) < 3:
             return recursive(text, chunk_size, 0)
     try:
-        vectors = MODELS[embedding_model or DEFAULT_MODEL][0]().embed(segments)
+        vectors = loaded(embedding_model or DEFAULT_MODEL).embed(segments)
     except Exception:  # a model that fails leaves the text to the recursive splitter
         return recursive(separator.join(segments), chunk_size, 0)
     cuts = split_points(np.asarray(vectors, np.float64), similarity_threshold) or split_points(np.asarray(vectors, np.float64), 0.7 * similarity_threshold)

@@ -96,12 +96,17 @@ def new_state(classified: DataFrame, indexed: DataFrame, state: DataFrame, now:
     return kept.select(*[f.name for f in STATE]).unionByName(fresh.select(*[f.name for f in STATE]))
 
 
+def state_json_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_state_json(spark: SparkSession, path: str) -> DataFrame:
     """State rows of a JSON file ``{"files": {path: {...}}}``; a missing file is an empty state, missing optional keys take defaults."""
+    if not state_json_exists(spark, path):
+        return spark.createDataFrame([], STATE)
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return spark.createDataFrame([], STATE)
     entry = T.StructType([f for f in STATE])
     if p.getName()[:1] in "._":  # table readers skip hidden files
         stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
@@ -116,7 +121,10 @@ def read_state_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_state_json(state: DataFrame, path: str) -> None:
-    """Export for other tools: one JSON file written by the driver row by row, in order of path."""
+    """A copy of a state for other tools: one JSON file written by the driver row by row, in order of path.
+
+    The engine's own state is a table in its store.
+    """
     import json
     import os
 

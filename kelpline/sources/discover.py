@@ -102,6 +102,15 @@ def scan(spark: SparkSession, directory: str, patterns: Iterable[str] = DEFAULT_
     return first_per_resolved(listed).drop("k")
 
 
+def one_file(spark: SparkSession, path: str) -> DataFrame:
+    """The listing of a single file; ``ValueError`` if it is none."""
+    p = Path(os.path.abspath(path))
+    if not p.is_file():
+        raise ValueError(f"no file {p}")
+    s = p.stat()
+    return spark.createDataFrame([(str(p), str(p.resolve()), p.name, p.name, p.suffix, s.st_size, s.st_mtime)], FILES)
+
+
 def first_per_resolved(listed: DataFrame) -> DataFrame:
     """One row per resolved path: the first by pattern, then by path."""
     w = Window.partitionBy("resolved").orderBy("k", "source")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import io
 import json
 import re
@@ -80,29 +79,42 @@ def _html_metadata(root: htmltree.Node) -> dict:
     return out
 
 
+def _is_rustdoc(root: htmltree.Node) -> bool:
+    body = root.find("body")
+    return body is not None and "rustdoc" in body.classes()
+
+
+def _rustdoc(root: htmltree.Node, meta: dict) -> None:
+    """Fields of a page of Rust documentation; its own furniture goes."""
+    meta["doc_type"] = "rustdoc"
+    for node in root.walk():
+        if "fqn" in node.classes():
+            meta["module_path"] = node.text()
+            break
+    kind = next((c for c in root.find("body").classes() if c in RUSTDOC_ITEMS), None)
+    if kind:
+        meta["item_type"] = kind
+    pre = next((n for n in root.find_all("pre") if "rust" in n.classes()), None)
+    if pre is not None:
+        meta["signature"] = pre.text()
+    for node in [n for n in root.walk() if set(n.classes()) & set(RUSTDOC_CLASSES)]:
+        node.drop()
+
+
+#: specialised pages: (which they are, what is done with them); the first that applies counts.  Register own ones here.
+HTML_LOADERS: list[tuple[Callable[[htmltree.Node], bool], Callable[[htmltree.Node, dict], None]]] = [(_is_rustdoc, _rustdoc)]
+
+
 def load_html(raw: bytes) -> tuple[str, dict]:
-    """Text of a page without its furniture; pages of Rust documentation get their extra fields."""
+    """Text of a page without its furniture; specialised pages get their extra fields."""
     root = htmltree.parse(_utf8(raw))
     meta = _html_metadata(root)
-    body = root.find("body")
-    rustdoc = body is not None and "rustdoc" in body.classes()
-    if rustdoc:
-        meta["doc_type"] = "rustdoc"
-        for node in root.walk():
-            if "fqn" in node.classes():
-                meta["module_path"] = node.text()
-                break
-        kind = next((c for c in body.classes() if c in RUSTDOC_ITEMS), None)
-        if kind:
-            meta["item_type"] = kind
-        pre = next((n for n in root.find_all("pre") if "rust" in n.classes()), None)
-        if pre is not None:
-            meta["signature"] = pre.text()
+    for applies, special in HTML_LOADERS:
+        if applies(root):
+            special(root, meta)
+            break
     for node in root.find_all(*UNWANTED):
         node.drop()
-    if rustdoc:
-        for node in [n for n in root.walk() if set(n.classes()) & set(RUSTDOC_CLASSES)]:
-            node.drop()
     return root.text("\n"), meta
 
 
@@ -152,7 +164,7 @@ def pdf_date(value: str) -> str | None:
     return f"{s[:4]}-{s[4:6]}-{s[6:8]}" if len(s) >= 8 else None
 
 
-def _stream(body: bytes) -> bytes:
+def pdf_stream(body: bytes) -> bytes:
     at = body.find(b"stream")
     if at < 0:
         return b""
@@ -166,6 +178,32 @@ def _stream(body: bytes) -> bytes:
     return data
 
 
+def pdf_objects(raw: bytes) -> dict[int, bytes]:
+    """Bodies of the objects of a PDF by number, those in object streams included."""
+    if not raw.lstrip().startswith(b"%PDF"):
+        raise ValueError("not a PDF file")
+    objects = {int(m[1]): m[2] for m in _OBJECT.finditer(raw)}
+    for body in list(objects.values()):
+        if b"/ObjStm" in body:
+            data = pdf_stream(body)
+            n, first = (int(re.search(rb"/%s\s+(\d+)" % k, body)[1]) for k in (b"N", b"First"))
+            head = list(map(int, data[:first].split()[: 2 * n]))
+            ends = [*head[3::2], len(data) - first]
+            for (num, off), end in zip(zip(head[::2], head[1::2]), ends):
+                objects.setdefault(num, data[first + off : first + end])
+    return objects
+
+
+def pdf_raw_text(contents: list[bytes]) -> str:
+    """All strings of the content streams as single-byte text, whatever operators stand between them."""
+    return "\n\n".join(t for c in contents if (t := " ".join(_pdf_string(x).strip() for x in re.findall(rb"\((?:[^()\\]|\\.)*\)", c, re.S)).strip()))
+
+
+def garbled(text: str) -> bool:
+    """More than 30 % replacement characters."""
+    return bool(text.strip()) and text.count("\ufffd") / len(text) > 0.3
+
+
 def _page_text(stream: bytes) -> str:
     out: list[str] = []
     pending: list[str] = []
@@ -193,23 +231,15 @@ def load_pdf(raw: bytes) -> tuple[str, dict]:
 
     This built-in reader covers unencrypted files with object-level pages; ``LOADERS`` takes another one.
     """
-    if not raw.lstrip().startswith(b"%PDF"):
-        raise ValueError("not a PDF file")
-    objects = {int(m[1]): m[2] for m in _OBJECT.finditer(raw)}
-    for body in list(objects.values()):
-        if b"/ObjStm" in body:
-            data = _stream(body)
-            n, first = (int(re.search(rb"/%s\s+(\d+)" % k, body)[1]) for k in (b"N", b"First"))
-            head = list(map(int, data[:first].split()[: 2 * n]))
-            ends = [*head[3::2], len(data) - first]
-            for (num, off), end in zip(zip(head[::2], head[1::2]), ends):
-                objects.setdefault(num, data[first + off : first + end])
+    objects = pdf_objects(raw)
     pages = [b for b in objects.values() if re.search(rb"/Type\s*/Page\b(?!s)", b)]
-    texts = []
+    texts, contents = [], []
     for page in pages:
         refs = re.search(rb"/Contents\s*(?:\[([^\]]*)\]|(\d+)\s+\d+\s+R)", page)
         ids = re.findall(rb"(\d+)\s+\d+\s+R", refs[1]) if refs and refs[1] else [refs[2]] if refs else []
-        text = "\n".join(_page_text(_stream(objects.get(int(i), b""))) for i in ids).strip()
+        streams = [pdf_stream(objects.get(int(i), b"")) for i in ids]
+        contents += streams
+        text = "\n".join(map(_page_text, streams)).strip()
         if text:
             texts.append(text)
     meta: dict = {"page_count": len(pages)}
@@ -222,6 +252,8 @@ def load_pdf(raw: bytes) -> tuple[str, dict]:
         elif key in ("CreationDate", "ModDate") and (day := pdf_date(value)):
             meta["creation_date" if key == "CreationDate" else "modification_date"] = day
     content = "\n\n".join(texts)
+    if garbled(content):
+        content = pdf_raw_text(contents)
     if found := find_doi(content):
         meta["doi"] = found
     return content, meta
@@ -280,7 +312,3 @@ def load(files: DataFrame) -> DataFrame:
             yield pd.DataFrame([load_one(*r) for r in pdf.itertuples(index=False)], columns=[f.name for f in DOCUMENT])
 
     return source.mapInPandas(run, DOCUMENT)
-
-
-def html_unescape(text: str) -> str:
-    return html.unescape(text)

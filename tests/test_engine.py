@@ -8,6 +8,7 @@ from kelpline.engine import Engine
 from kelpline.functions import embed
 from kelpline.functions import text as X
 from kelpline.operators import payloads, store, sync
+from kelpline.operators.publish import Conflict
 
 
 @pytest.fixture()
@@ -47,6 +48,136 @@ def test_index_search_and_sync(spark, tree, tmp_path):
     assert code[0]["name"] == "c1" and code[0]["vector_size"] == "64"
 
 
+def test_unchanged_files_are_not_read_and_one_snapshot_per_sync(spark, tree, tmp_path):
+    import os
+
+    e = Engine(spark, f"file://{tmp_path}/store", "c1")
+    e.sync(str(tree))
+    assert e.store.snapshot("c1")["number"] == 1  # points and state together
+    at = os.stat(tree / "b.txt")
+    (tree / "b.txt").write_text("other words of the same day")
+    os.utime(tree / "b.txt", ns=(at.st_atime_ns, at.st_mtime_ns))
+    os.utime(tree / "a.md", (1, 1))
+    assert e.sync(str(tree))["updated"] == 0  # the same time: not read; another time, same bytes: touched
+    assert {r["path"]: r["mtime"] for r in e.state(str(tree)).collect()}[str(tree / "a.md")] == 1.0
+    assert e.sync(str(tree), force=True)["updated"] == 4 and any("other words" in r["document"] for r in e.store.read("c1").collect())
+
+
+def test_slower_of_two_changes_fails(spark, tmp_path, monkeypatch):
+    s, t = (store.Store(spark, f"file://{tmp_path}/s") for _ in range(2))
+    s.ensure("c", {"v": 2}, buckets=4)
+    rows = lambda *x: spark.createDataFrame([(i, {"v": [1.0, 0.0]}, d, {}) for i, d in x], store.SCHEMA)
+    s.apply("c", rows(*[(i, "a") for i in range(40)]))
+    before, behind = s.snapshot("c"), t.snapshot("c")
+    s.apply("c", rows((1, "b")))
+    after = s.snapshot("c")["buckets"]
+    assert sum(before["buckets"][k] != after[k] for k in after) == 1  # only the touched bucket was written
+    monkeypatch.setattr(t, "snapshot", lambda name: behind)
+    with pytest.raises(Conflict):
+        t.apply("c", delete=spark.createDataFrame([(2,)], "id long"))
+    assert s.read("c").count() == 40
+
+
+def _pdf(width: int, height: int, caption: str, twice: bool = False) -> bytes:
+    import zlib
+
+    pixels = zlib.compress(bytes((x * 7 + y * 3) % 256 for y in range(height) for x in range(width)))
+    text = b"BT /F1 12 Tf 50 700 Td (A page about the weir and its keeper.) Tj ET BT /F1 12 Tf 60 380 Td (" + caption.encode() + b") Tj ET"
+    content = text + b" q 200 0 0 200 50 400 cm /Im0 Do Q" + (b" q 200 0 0 200 300 400 cm /Im1 Do Q" if twice else b"")
+    image = b"<< /Type /XObject /Subtype /Image /Width %d /Height %d /ColorSpace /DeviceGray /BitsPerComponent 8 /Filter /FlateDecode /Length %d >> stream\n" % (width, height, len(pixels)) + pixels + b"\nendstream"
+    objects = [
+        b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>",
+        b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] /Contents 4 0 R /Resources << /XObject << /Im0 5 0 R /Im1 6 0 R >> >> >>",
+        b"<< /Length %d >> stream\n" % len(content) + content + b"\nendstream", image, image,
+    ]
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n" % (i + 1) + o + b"\nendobj\n" for i, o in enumerate(objects)) + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+def test_images_of_pdf_files(spark, tmp_path):
+    from kelpline.sources import pdfimages
+
+    docs = tmp_path / "pdfs"
+    docs.mkdir()
+    (docs / "a.pdf").write_bytes(_pdf(200, 200, "Figure 1: the weir", twice=True))
+    (docs / "small.pdf").write_bytes(_pdf(50, 50, "Figure 2: too small"))
+    (docs / "bad.pdf").write_bytes(b"no pdf")
+    images, blocks = pdfimages.scan_pdf((docs / "a.pdf").read_bytes())
+    assert len(images) == 1 and images[0]["bbox"] == {"x0": 50.0, "y0": 192.0, "x1": 250.0, "y1": 392.0} and len(blocks) == 2
+    assert pdfimages.decode_png(images[0]["image_data"]).shape == (200, 200)
+    e = Engine(spark, f"file://{tmp_path}/store", "c1", images=True)
+    out = e.sync(str(docs))
+    assert out["added"] == 2 and out["failed"] == [str(docs / "bad.pdf")]
+    state = {r["path"]: r for r in e.state(str(docs)).collect()}
+    assert state[str(docs / "a.pdf")]["image_count"] == 1 and state[str(docs / "small.pdf")]["image_count"] == 0
+    point = [r for r in e.store.read("c1").collect() if r["metadata"].get("content_type") == "image"]
+    assert len(point) == 1 and point[0]["metadata"]["caption"] == "Figure 1: the weir" and point[0]["id"] == state[str(docs / "a.pdf")]["image_ids"][0]
+    assert len(point[0]["vectors"]["clip-pixel-64"]) == 64 and set(e.store.vectors("c1")) == {"fast-hash-64", "clip-pixel-64"}
+    (docs / "a.pdf").unlink()
+    e.sync(str(docs))
+    assert not [r for r in e.store.read("c1").collect() if r["metadata"].get("content_type") == "image"]
+
+
+def test_png_filters():
+    import zlib
+
+    import numpy as np
+
+    from kelpline.sources import pdfimages as P
+
+    rng = np.random.default_rng(1)
+    for shape in ((5, 7), (4, 6, 3)):
+        x = rng.integers(0, 256, shape).astype(np.uint8)
+        assert (P.decode_png(P.encode_png(x)) == x).all()
+    rows = rng.integers(0, 256, (5, 12)).astype(np.int64)
+    raw = b""
+    for y, kind in enumerate((0, 1, 2, 3, 4)):  # every filter once
+        up, line = rows[y - 1] if y else np.zeros(12, np.int64), rows[y]
+        left, corner = np.r_[[0] * 3, line[:-3]], np.r_[[0] * 3, up[:-3]]
+        paeth = [min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2] for a, b, c in zip(left, up, corner)]
+        raw += bytes([kind]) + bytes(((line - [0, left, up, (left + up) // 2, np.array(paeth)][kind]) & 255).astype(np.uint8))
+    assert (P.unfilter(raw, 5, 12, 3) == rows).all() and P.decode_png(b"junk") is None and P.to_png(zlib.compress(b"x"), b"/DCTDecode") is None
+
+
+def test_index_one_file(spark, tree, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/store", "c1")
+    out = e.index_file(str(tree / "a.md"))
+    assert out["chunk_count"] == 1 and [r["id"] for r in e.store.read("c1").collect()] == out["chunk_ids"] and out["image_ids"] == []
+    for bad in ("bad.txt", "none.md"):
+        with pytest.raises(ValueError):
+            e.index_file(str(tree / bad))
+
+
+def test_streams_resume(spark, tmp_path):
+    from kelpline.streaming import streams
+
+    log = "obs_id long, source_path string, modified_time double, content_hash string, received_at timestamp"
+    stamp = lambda n: __import__("datetime").datetime(2024, 1, 1, n)
+    root = f"file://{tmp_path}/state"
+    one = spark.createDataFrame([(1, "a", 1.0, "h1", stamp(1)), (2, "b", 1.0, "h1", stamp(1)), (3, "c", 1.0, None, stamp(1))], log)
+    two = spark.createDataFrame([(4, "a", 2.0, "h2", stamp(2)), (5, "b", 0.5, "old", stamp(3))], log)
+    keep = streams.CurrentFiles(spark, root, buckets=4)
+    keep.update(one, 0)
+    first = keep.folder.names()
+    keep.update(one, 0)  # a repeated batch changes nothing
+    assert keep.folder.names() == first
+    keep.update(two, 1)
+    assert {(r["source_path"], r["content_hash"]) for r in keep._read(sorted(keep._last().values())).collect()} == {("a", "h2"), ("b", "h1")}
+
+
+def test_late_events_no_longer_count(spark, tmp_path):
+    from kelpline.streaming import streams
+
+    at = lambda h, m=0: __import__("datetime").datetime(2024, 1, 1, h, m)
+    src, out = f"file://{tmp_path}/ev", f"file://{tmp_path}/out"
+    schema = "ts timestamp, event_type string, value double"
+    kept = []
+    for k, rows in enumerate(([(at(1), "x", 1.0), (at(9), "x", 1.0)], [(at(1, 5), "x", 1.0), (at(8, 30), "x", 1.0)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        streams.run_available(streams.event_counts(stream, "2 hours"), lambda b, n: kept.extend((r["start"].hour, r["events"]) for r in b.collect()), out, "update")
+    assert sorted(kept) == [(1, 1), (8, 1), (9, 1)]  # 01:05 came when its hour was closed, 08:30 did not
+
+
 def test_sync_rules(spark):
     files = spark.createDataFrame([("n", 1.0, "h"), ("same", 1.0, "x"), ("touch", 2.0, "h"), ("mod", 2.0, "h2"), ("nul", 1.0, "h2")], "path string, mtime double, hash string")
     state = spark.createDataFrame([("same", "other", "", 1, [1], 1.0, 0, []), ("touch", "h", "", 1, [2], 1.0, 0, []), ("mod", "h", "", 1, [3], 1.0, 1, [4]), ("nul", "h", "", 1, [5], None, 0, None), ("gone", "h", "", 1, [6], 1.0, 0, [])], sync.STATE)
