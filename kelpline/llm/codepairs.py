@@ -271,6 +271,12 @@ MISSING = re.compile(
     | (?:write|add|document|describe|fill|complete|insert|put|enter|edit)\ (?:me|this|it|docs?|a?\ ?description|documentation|in|here|something)\b.*
     | (?:auto(?:matically)?[- ]?|machine[- ]?)generated\b.* | (?:created|generated)\ (?:from|by)\ (?:the\ |an?\ )?[\w ]*(?:template|editor|ide|plugin|tool)\b.*
     | (?:template|stub|placeholder|boilerplate)\b.* | to\ be\ (?:documented|written|done|completed|filled)\b.* | (?:coming|follows)\ soon\b.* | will\ follow\b.*
+    | (?:description|documentation|docs?|docstring|summary|comment)s?\ (?:(?:will|shall)\ (?:be|follow|come)|coming|to\ be|not\ yet|pending)\b.*
+    | .*\b(?:has|have)\ (?:no|not\ (?:yet\ )?(?:any|a))\ (?:description|documentation|docs?|docstring|comment)\b(?:\ yet)?
+    | .*\b(?:hat|gibt\ es)\ (?:noch\ )?keine\ (?:beschreibung|dokumentation|doku)\b.* | .*\bn['’]a\ pas\ (?:encore\ )?de\ (?:description|documentation)\b.*
+    | .*\b(?:a[uú]n|todav[ií]a)\ no\ tiene\ (?:descripci[oó]n|documentaci[oó]n)\b.* | .*\bainda\ n[aã]o\ tem\ (?:descri[cç][aã]o|documenta[cç][aã]o)\b.*
+    | .*\b(?:jeszcze\ )?nie\ ma\ (?:jeszcze\ )?(?:opisu|dokumentacji)\b.* | .*\b(?:пока|ещё|еще)\ нет\ (?:описания|документации)\b.*
+    | (?:説明|ドキュメント)は?(?:後で|未記入|なし|準備中).*
     | (?:enter|type)\ description\ here.* | \[.*\] | _\w+_ | \{?@inherit(?:doc)?\}?.* | undocumented\b.* | not\ (?:yet\ )?documented\b.*
     | (?:beschreibung|dokumentation|doku|kommentar)\ (?:folgt|fehlt|kommt)\b.* | noch\ (?:zu|keine)\b.* | keine\ (?:beschreibung|dokumentation)\b.*
     | (?:à|a)\ (?:compléter|documenter|faire)\b.* | (?:description|documentation)\ (?:à\ venir|manquante)\b.* | pas\ de\ (?:description|documentation)\b.*
@@ -398,12 +404,14 @@ def documented_symbols(source_files: DataFrame, symbols: DataFrame) -> DataFrame
     """The pairs whose function the loader listed as a symbol, with the symbol's signature; each once.
 
     Repeated symbol rows are first reduced to one per (file, qualified name); a null signature gives way
-    to any other.
+    to any other.  Of functions with one qualified name in a file the first documented one counts.
     """
     listed = (
         symbols.where(F.col("symbol_type").isin("function", "method"))
         .groupBy("file_id", "qualified_name")
         .agg(F.max("signature").alias("signature"))
     )
-    pairs = documented_functions(source_files).dropDuplicates(["file_id", "qualified_name"])
+    found = documented_functions(source_files)
+    rest = [c for c in found.columns if c not in ("file_id", "qualified_name")]
+    pairs = found.groupBy("file_id", "qualified_name").agg(F.min_by(F.struct(*rest), F.struct("line_start", "line_end", "code")).alias("p")).select("file_id", "qualified_name", "p.*").select(*found.columns)
     return pairs.join(listed, ["file_id", "qualified_name"])

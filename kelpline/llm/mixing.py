@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.skew import salted_join
 from ..session import materialize
 from .tokens import VOCABULARY, count_tokens
 
@@ -111,7 +112,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     counts = materialize(plan(sized, targets, total_tokens), "mix-plan")
     # exact ranks in two steps: whole hash buckets, then the rows of the one bucket in which the count ends
     h = F.xxhash64("doc_id", F.lit(SEED))
-    rows = sized.withColumn("h", h).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int")).join(counts, ["source", "tokens"])
+    rows = salted_join(sized, counts, ["source", "tokens"], "inner", by="doc_id").withColumn("h", h).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int"))
     per = rows.groupBy("source", "tokens", "bucket").agg(F.count(F.lit(1)).alias("n"), F.max("extra").alias("extra"))
     w = Window.partitionBy("source", "tokens").orderBy("bucket")
     edges = per.withColumn("before", F.sum("n").over(w) - F.col("n")).withColumn("left", F.col("extra") - F.col("before")).select("source", "tokens", "bucket", "left", "n")

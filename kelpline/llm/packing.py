@@ -66,20 +66,22 @@ def pack(documents: DataFrame, limits: DataFrame, doc_id: str = "doc_id", text:
     """
     sized = materialize(count_tokens(documents.where(F.col(doc_id).isNotNull()), text, (doc_id,), path).select(F.col(doc_id).cast("long").alias("doc_id"), "tokens").where("tokens > 0"), "sizes")
     kinds = limits.where("capacity_tokens > 0 AND container IS NOT NULL").select("container", F.col("capacity_tokens").cast("long").alias("capacity_tokens")).distinct().collect()
-    shards = max(1, -(-sized.count() // shard_items))
-    kinds_df = F.explode(F.array(*[F.struct(F.lit(r[0]).alias("container"), F.lit(r[1]).alias("capacity_tokens")) for r in kinds])) if kinds else None
     schema = "container string, capacity_tokens long, bin long, doc_id long, piece int, tokens long"
-    if kinds_df is None:
+    if not kinds:
         return documents.sparkSession.createDataFrame([], schema)
-    items = sized.withColumn("k", kinds_df).select("doc_id", "tokens", "k.*")
+    # pieces of each kind of container, which a corpus of long documents has many more of than documents
+    total = sized.agg(*[F.sum(F.ceil(F.col("tokens") / r[1])).cast("long") for r in kinds]).first()
+    shards = [max(1, -(-(n or 0) // shard_items)) for n in total]
+    kind = F.explode(F.array(*[F.struct(F.lit(r[0]).alias("container"), F.lit(r[1]).alias("capacity_tokens"), F.lit(int(n)).cast("long").alias("shards")) for r, n in zip(kinds, shards)]))
+    items = sized.withColumn("k", kind).select("doc_id", "tokens", "k.*")
     pieces = F.sequence(F.lit(0), F.floor((F.col("tokens") - 1) / F.col("capacity_tokens")).cast("int"))
     items = items.withColumn("piece", F.explode(pieces)).withColumn("size", F.least("capacity_tokens", F.col("tokens") - F.col("piece") * F.col("capacity_tokens")))
-    placed = items.select("container", "capacity_tokens", "doc_id", "piece", "size", F.xxhash64("doc_id", "piece", F.lit(SEED)).alias("h")).withColumn("shard", F.pmod("h", F.lit(shards)))
+    placed = items.select("container", "capacity_tokens", "doc_id", "piece", "size", "shards", F.xxhash64("doc_id", "piece", F.lit(SEED)).alias("h")).withColumn("shard", F.pmod("h", "shards"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "doc_id", "piece"], kind="stable")
         bins = sum_of_squares(pdf["size"].to_numpy(), int(key[1]))
-        return pd.DataFrame({"container": pdf["container"], "capacity_tokens": pdf["capacity_tokens"], "bin": bins * shards + int(key[2]), "doc_id": pdf["doc_id"], "piece": pdf["piece"], "tokens": pdf["size"]})
+        return pd.DataFrame({"container": pdf["container"], "capacity_tokens": pdf["capacity_tokens"], "bin": bins * pdf["shards"].to_numpy() + int(key[2]), "doc_id": pdf["doc_id"], "piece": pdf["piece"], "tokens": pdf["size"]})
 
     return placed.groupBy("container", "capacity_tokens", "shard").applyInPandas(run, schema)
 

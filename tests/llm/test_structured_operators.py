@@ -52,7 +52,7 @@ def test_functions_and_their_comments():
     assert set(rust) == {"f", "g", "S<T>.m", "Q.q", "h"} and rust["f"][1] == "Needs the lock." and rust["S<T>.m"][1] == "In bytes." and rust["g"][1] is None
 
 
-TRIVIAL = ["", "   ", "---", "...", "???", "TODO", "N/A", "None", "tbd", "No description available.", "Documentation goes here.", "Beschreibung folgt.", "[description of the load row function]", "load_row", "load_row()", "Loads row", "Loads the given row.", "Load row function.", "The load_row method.", "Helper for load row.", "This is the load_row function. It is used to load row.", "Function load_row: does the load row and returns the result of the load row.", "@param mixed $path\n@return mixed", ":param path:\n:return:", "Args:\n    path: path", "{@inheritdoc}", "_summary_", "Auto-generated stub.", "Created from the editor template, please complete.", "TODO: somebody has to describe what load_row does before the next release", "doc missing, will follow later", "@todo document this"]
+TRIVIAL = ["", "   ", "---", "...", "???", "TODO", "N/A", "None", "tbd", "No description available.", "Documentation goes here.", "Beschreibung folgt.", "[description of the load row function]", "load_row", "load_row()", "Loads row", "Loads the given row.", "Load row function.", "The load_row method.", "Helper for load row.", "This is the load_row function. It is used to load row.", "Function load_row: does the load row and returns the result of the load row.", "@param mixed $path\n@return mixed", ":param path:\n:return:", "Args:\n    path: path", "{@inheritdoc}", "_summary_", "Auto-generated stub.", "Created from the editor template, please complete.", "TODO: somebody has to describe what load_row does before the next release", "doc missing, will follow later", "@todo document this", "Docs coming later.", "Doc will be provided.", "Ta funkcja jeszcze nie ma opisu.", "Diese Funktion hat noch keine Beschreibung."]
 REAL = ["Not thread-safe.", "Null when the row is gone.", "Zero means no limit.", "Returns -1 for an empty row.", "Load row as found in the page.", "In bytes, not tokens.", "Gibt None zurück, falls der Eintrag schon gelöscht wurde.", "Loads the row.\n\nFalls back to the slow scan if the cache is cold.", "次の行を読む"]
 
 
@@ -203,6 +203,11 @@ def test_pack(spark):
             parts = sorted((r["piece"], r["tokens"]) for r in mine if r["doc_id"] == i)
             assert sum(t for _, t in parts) == sizes[i] and all(t == cap for _, t in parts[:-1]) and [p for p, _ in parts] == list(range(len(parts)))
     assert B.fill_report(B.pack(d, limits)).where("overfull > 0").count() == 0
+    # shards are counted in pieces: a few long documents fill several
+    long = docs(spark, [(i, "word " * 400, "a") for i in range(20)])
+    many = B.pack(long, limits, shard_items=100)
+    per = many.groupBy("container", "bin").agg(F.sum("tokens").alias("t"), F.max("capacity_tokens").alias("c"))
+    assert per.where("t > c").count() == 0 and many.where("container = 'short'").count() == sum(-(-r["tokens"] // 8) for r in T.count_tokens(long).collect())
     assert B.pack(d.limit(0), limits).count() == 0 and B.pack(d, limits.limit(0)).count() == 0
 
 
