@@ -65,8 +65,7 @@ class Engine:
         if self.chunker in ("auto", "code"):
             parts = text.code_chunks(F.col("symbol"), size, overlap)
         else:
-            s = F.col("symbol")
-            head = F.concat(s["symbol_type"], F.lit(": "), s["qualified_name"], F.lit("\n"), F.coalesce(F.concat(F.nullif(s["signature"], F.lit("")), F.lit("\n")), F.lit("")), F.coalesce(F.concat(F.lit("\n"), F.nullif(s["docstring"], F.lit(""))), F.lit("")))
+            head = text.symbol_text(F.col("symbol"))
             parts = chunkers.chunk(head, self.chunker, **self.options)
         code = code.select("source", "metadata", "symbol", "sym", parts.alias("chunks"))
         # number the chunks of a file over its symbols: one sort of the few rows of each file

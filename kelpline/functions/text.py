@@ -194,6 +194,13 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+", -1), strip), lambda x: x != "")
 
 
+def symbol_text(symbol: Column) -> Column:
+    """Head, signature and documentation of a symbol: what other strategies than ``code`` split."""
+    signature = F.coalesce(F.concat(F.nullif(symbol["signature"], F.lit("")), F.lit("\n")), F.lit(""))
+    doc = F.coalesce(F.concat(F.lit("\n"), F.nullif(symbol["docstring"], F.lit(""))), F.lit(""))
+    return F.concat(symbol["symbol_type"], F.lit(": "), symbol["qualified_name"], F.lit("\n"), signature, doc)
+
+
 def code_chunks(symbol: Column, size: int = 1536, overlap: int = 200, include_source: bool = True) -> Column:
     """Chunks of a symbol: head with documentation, then its source; what is left is windowed."""
     head = F.concat(

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..engine import Engine
 from ..functions import chunkers, embed, text
 from ..operators import images as im
 from ..operators import merkle, payloads, store, sync
-from ..session import table
+from ..session import materialize, shared_dir, table
 from ..sources import discover, loaders, symbols
 from ..streaming import streams
 
@@ -65,26 +68,29 @@ def filter_partition(spark, d):
     return one(inside, False).unionByName(one(outside, True)).where("files > 0")
 
 
-_MAP = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in chunkers.PREFERRED.items())
-
-
-@query(f"SELECT CASE lower(extension) {_MAP} ELSE 'recursive' END AS strategy, count(*) AS files FROM (SELECT extension FROM documents UNION ALL SELECT extension FROM source_files) GROUP BY 1")
+@query("""
+    SELECT CASE WHEN e = '.md' THEN 'markdown' WHEN e = '.pdf' THEN 'semantic' WHEN e IN ('.html', '.htm') THEN 'html'
+        WHEN e IN ('.py', '.pyi', '.php', '.php3', '.php4', '.php5', '.phtml', '.rs') THEN 'code' ELSE 'recursive' END AS strategy, count(*) AS files
+    FROM (SELECT lower(extension) AS e FROM documents UNION ALL SELECT lower(extension) FROM source_files) GROUP BY 1
+""")
 def dispatch_strategy(spark, d):
     both = table(spark, d, "documents").select("extension").unionByName(table(spark, d, "source_files").select("extension"))
     return both.select(chunkers.preferred_strategy(F.coalesce("extension", F.lit(""))).alias("strategy")).groupBy("strategy").agg(F.count(F.lit(1)).alias("files"))
 
 
-@query("SELECT file_id, length(regexp_replace(decode(content), '\\r\\n?', chr(10), 'g')) AS chars, sha256(content) AS hash FROM source_files")
+@query("SELECT source, length(t) AS chars, sha256(t) AS hash, content_hash FROM (SELECT source, sha256(content) AS content_hash, regexp_replace(decode(content), '\\r\\n?', chr(10), 'g') AS t FROM source_files)")
 def load_text_files(spark, d):
-    body = text.universal_newlines(F.decode("content", "UTF-8"))
-    return table(spark, d, "source_files").select("file_id", F.length(body).cast("long").alias("chars"), sync.file_hash(F.col("content")).alias("hash"))
+    """Texts as the loaders give them, and the hash of the bytes that the sync compares."""
+    files = table(spark, d, "source_files")
+    docs = loaders.load(files).where("error IS NULL").select("source", F.length("content").cast("long").alias("chars"), F.sha2("content", 256).alias("hash"))
+    return docs.join(files.select("source", sync.file_hash(F.col("content")).alias("content_hash")), "source")
 
 
-@query("SELECT source, octet_length(content) > 0 AS has_text, CASE lower(extension) WHEN '.rs' THEN 'rust' WHEN '.py' THEN 'python' WHEN '.pyi' THEN 'python' ELSE 'php' END AS code_language FROM source_files")
+@query("SELECT source, filename, extension, size, round(mtime, 3) AS modified, true AS is_code, CASE lower(extension) WHEN '.rs' THEN 'rust' WHEN '.py' THEN 'python' WHEN '.pyi' THEN 'python' ELSE 'php' END AS code_language FROM source_files")
 def load_code_files(spark, d):
-    files = table(spark, d, "source_files")
-    docs = loaders.load(files)
-    return docs.join(files.select("source", "extension"), "source").select("source", (F.length("content") > 0).alias("has_text"), symbols.language_of(F.col("extension")).alias("code_language"))
+    docs = loaders.load(table(spark, d, "source_files")).where("symbols IS NOT NULL AND error IS NULL")
+    m = F.col("metadata")
+    return docs.select("source", m["filename"].alias("filename"), m["extension"].alias("extension"), m["size"].alias("size"), F.round(m["modified_time"], 3).alias("modified"), m["is_code"].alias("is_code"), symbols.language_of(m["extension"]).alias("code_language"))
 
 
 _RST = f"""
@@ -99,17 +105,28 @@ def load_rst_titles(spark, d):
     return table(spark, d, "documents").select("doc_id", text.rst_title(F.col("text")).alias("title"))
 
 
-@query("SELECT DISTINCT file_id, qualified_name, symbol_type, line_start, line_end FROM symbols")
-def symbols_listed(spark, d):
-    """Symbols of all source files, without functions nested in functions and kinds that the table does not list."""
+def _listed(spark, d):
+    """Symbols of the source files that parse, without functions nested in functions and kinds that the table does not list."""
     files = table(spark, d, "source_files")
     body = text.universal_newlines(F.decode("content", "UTF-8"))
-    body = F.when(symbols.language_of(F.col("extension")) == "php", body).otherwise(F.regexp_replace(body, "^﻿", ""))
+    body = F.when(symbols.language_of(F.col("extension")) == "php", body).otherwise(F.regexp_replace(body, "^\ufeff", ""))
     found = files.select("file_id", F.explode(symbols.extract_symbols(body, F.col("extension"), recover=False)).alias("s")).select("file_id", "s.*")
     found = found.where(F.col("symbol_type").isin("function", "method", "class", "struct"))
     spans = found.where(F.col("symbol_type").isin("function", "method")).select("file_id", F.col("line_start").alias("a"), F.col("line_end").alias("b"))
     nested = found.where("symbol_type = 'function'").join(spans, "file_id").where("line_start > a AND line_end <= b").select("file_id", "line_start").distinct()
-    return found.join(nested, ["file_id", "line_start"], "left_anti").select("file_id", "qualified_name", "symbol_type", "line_start", "line_end").distinct()
+    return found.join(nested, ["file_id", "line_start"], "left_anti")
+
+
+@query(f"SELECT DISTINCT file_id, name, qualified_name, symbol_type, language, parent, visibility, line_start, line_end, {STRIP.format('content')} AS content FROM symbols")
+def symbols_listed(spark, d):
+    return _listed(spark, d).select("file_id", "name", "qualified_name", "symbol_type", "language", "parent", "visibility", "line_start", "line_end", text.strip(F.col("content")).alias("content")).distinct()
+
+
+@query("SELECT DISTINCT file_id, qualified_name, signature FROM symbols WHERE signature IS NOT NULL")
+def symbols_signatures(spark, d):
+    """Signatures of the symbols whose row in the table kept one."""
+    kept = table(spark, d, "symbols").where("signature IS NOT NULL").select("file_id", "qualified_name").distinct()
+    return _listed(spark, d).join(kept, ["file_id", "qualified_name"], "left_semi").select("file_id", "qualified_name", F.coalesce("signature", F.lit("")).alias("signature")).distinct()
 
 
 @query()
@@ -202,12 +219,39 @@ def chunk_code(spark, d):
     return s.select("symbol_id", F.explode(text.code_chunks(F.struct(*s.columns), 400, 50)).alias("chunk"))
 
 
-@query()
+def _recursive_sql(size: int, overlap: int) -> str:
+    """The recursive splitter as nested SQL folds over the parts at each separator."""
+
+    def level(x: str, separators: list[str]) -> str:
+        if not separators:
+            return f"list_transform(range((length({x}) + {size - 1}) // {size}), lambda k: substr({x}, (k * {size} + 1)::BIGINT, {size}))"
+        n = len(separators)
+        a, p = f"a{n}", f"p{n}"
+        longer = f"CASE WHEN {a}.held <> '' THEN {a}.held || {separators[0]} || {p}.held ELSE {p}.held END"
+        flushed = f"CASE WHEN {a}.held <> '' THEN list_append({a}.done, {a}.held) ELSE {a}.done END"
+        step = (
+            f"CASE WHEN length({longer}) <= {size} THEN {{'done': {a}.done, 'held': {longer}}}"
+            f" WHEN length({p}.held) > {size} THEN {{'done': list_concat({flushed}, {level(p + '.held', separators[1:])}), 'held': ''}}"
+            f" ELSE {{'done': {flushed}, 'held': {p}.held}} END"
+        )
+        parts = f"list_prepend({{'done': []::VARCHAR[], 'held': ''}}, list_transform(string_split({x}, {separators[0]}), lambda s{n}: {{'done': []::VARCHAR[], 'held': s{n}}}))"
+        end = f"list_reduce({parts}, lambda {a}, {p}: {step})"
+        return f"list_transform([{end}], lambda e{n}: CASE WHEN e{n}.held <> '' THEN list_append(e{n}.done, e{n}.held) ELSE e{n}.done END)[1]"
+
+    body = level("text", ["chr(10) || chr(10)", "chr(10)", "'. '", "' '"])
+    lag = f"CASE WHEN i = 1 THEN c[i] ELSE substr(right(c[i - 1], {overlap}) || c[i], 1, {size}) END" if overlap else "c[i]"
+    return f"""
+        SELECT doc_id, (i - 1)::INT AS i, {lag} AS chunk FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM (
+            SELECT doc_id, CASE WHEN text IS NULL OR {STRIP.format('text')} = '' THEN [] WHEN length(text) <= {size} THEN [text] ELSE {body} END AS c FROM documents))
+    """
+
+
+@query(_recursive_sql(512, 50))
 def chunk_recursive(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(chunkers.chunk(F.col("text"), "recursive", chunk_size=512, overlap=50)).alias("i", "chunk"))
 
 
-@query()
+@query(_recursive_sql(512, 50))
 def chunk_recursive_native(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(text.recursive_chunks(F.col("text"), 512, 50)).alias("i", "chunk"))
 
@@ -217,6 +261,28 @@ def chunk_markdown(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(chunkers.chunk(F.col("text"), "markdown")).alias("i", "chunk"))
 
 
+#: what no splitter may lose: everything but blanks and full stops, which stand at the cuts
+_SOLID = r"regexp_replace({0}, '[\s\x0b\x1c-\x1f\x85\p{Z}.]+', '', 'g')"
+
+
+def _solid(c):
+    return F.regexp_replace(c, r"[\s\x0b\x1c-\x1f\x85\p{Z}.]+", "")
+
+
+@query(f"SELECT doc_id, {_SOLID.replace('{0}', 'text')} AS body FROM documents WHERE text IS NOT NULL AND {STRIP.format('text')} <> ''")
+def chunk_markdown_text(spark, d):
+    """The chunks of a text, without the context lines of split sections, hold the text in order."""
+    chunks = F.transform(chunkers.chunk(F.col("text"), "markdown", chunk_size=700, overlap=0), lambda c: F.regexp_replace(c, r"(?s)\A\[Context: [^\n]*\]\n\n", ""))
+    return table(spark, d, "documents").withColumn("c", chunks).where(F.size("c") > 0).select("doc_id", _solid(F.array_join("c", " ")).alias("body"))
+
+
+@query(f"SELECT doc_id, {_SOLID.replace('{0}', 'text')} AS body FROM documents WHERE text IS NOT NULL AND {STRIP.format('text')} <> ''")
+def chunk_semantic_text(spark, d):
+    """The chunks of a text hold the text in order."""
+    chunks = chunkers.chunk(F.col("text"), "semantic", chunk_size=400)
+    return table(spark, d, "documents").withColumn("c", chunks).where(F.size("c") > 0).select("doc_id", _solid(F.array_join("c", " ")).alias("body"))
+
+
 @query()
 def chunk_html(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(chunkers.chunk(F.col("text"), "html")).alias("i", "chunk"))
@@ -236,8 +302,7 @@ def chunk_auto(spark, d):
 @query(f"SELECT symbol_id, symbol_type || ': ' || qualified_name || chr(10) || coalesce(nullif(signature, '') || chr(10), '') || coalesce(chr(10) || nullif(docstring, ''), '') AS chunk FROM symbols")
 def chunk_symbol_text(spark, d):
     s = table(spark, d, "symbols")
-    body = F.concat("symbol_type", F.lit(": "), "qualified_name", F.lit("\n"), F.coalesce(F.concat(F.nullif("signature", F.lit("")), F.lit("\n")), F.lit("")), F.coalesce(F.concat(F.lit("\n"), F.nullif("docstring", F.lit(""))), F.lit("")))
-    return s.select("symbol_id", body.alias("chunk"))
+    return s.select("symbol_id", text.symbol_text(F.struct(*s.columns)).alias("chunk"))
 
 
 # -- payloads ----------------------------------------------------------------------------------------------
@@ -378,6 +443,16 @@ def index_chunk_ids(spark, d):
     return rows.groupBy("source").agg(ids.alias("chunk_ids"))
 
 
+@query()
+def index_code(spark, d):
+    """All source files loaded, chunked by symbol, embedded and put into a fresh collection; its points."""
+    engine = Engine(spark, f"{shared_dir(spark)}/kelpline/{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}", "code")
+    engine.store.ensure("code", {engine.vector: engine.size})
+    engine.store.upsert("code", materialize(engine.points(engine.chunks(loaders.load(table(spark, d, "source_files"))), "2024-01-01T00:00:00"), "points"))
+    points = engine.store.read("code")
+    return points.select("id", "document", F.col("metadata")["source"].alias("source"), F.size(F.col("vectors")[engine.vector]).alias("size"))
+
+
 # -- collections -------------------------------------------------------------------------------------------
 @query("SELECT id, document, vector_name FROM (SELECT id, min(document) AS document, min(vector_name) AS vector_name FROM points WHERE id % 3 <> 0 GROUP BY id) UNION ALL SELECT id, 'new' AS document, max(vector_name) AS vector_name FROM points WHERE id % 3 = 0 GROUP BY id")
 def store_upsert(spark, d):
