@@ -122,9 +122,10 @@ SIDE = re.compile(r"(?i)^(?:[^|.!?]{1,30}\|){1,6}[^|.!?]{1,30}$|\ball rights res
 SENTENCE = re.compile(r"(?<=[.!?…。])\s+")
 
 
-# Letter runs of which a sentence must hold one to match any of the long patterns.
-CUES = (
-    "script|js|cookie|robot|browser|loading|reload|active content|client-side|skript|скрипт|сценари|スクリプト|skrypt|stays empty|cannot|could not|setting|exist|moved|removed|deleted|found"
+# Letter runs of which a sentence must hold one to match the pattern of script notices, or one of errors.
+SCRIPT_CUES = "script|js|cookie|robot|browser|loading|reload|active content|client-side|skript|скрипт|сценари|スクリプト|skrypt|stays empty|cannot show|setting"
+ERROR_CUES = (
+    "cannot|could not|exist|moved|removed|deleted|found"
     "|no longer|is not here|not available|unavailable|no such|server|request|session|login|sign in|log in|not allowed|permission|may not|access|unable|connect|maintenance|will be back|go back|time|spelling|address|exception"
     "|fatal|stack|went wrong|try again|oops|sorry|operator|status|incident|reference|error|http|wait a few|gefunden|existiert|vorhanden|verschoben|zugriff|wartung|erreichbar|fehler|introuvable|supprim|déplac|refus|interdit"
     "|indisponible|erreur|encontrad|existe|denegado|negado|solicitada|encontrar|erro |запрос|страниц|доступ|попробуйте|ошибка|istnieje|znalezion|dostęp|błąd|見つかりません|アクセス|エラー|gone|denied|forbidden|gateway|unauthor|traceback"
@@ -141,7 +142,7 @@ def _automaton(cues: str) -> ahocorasick.Automaton:
     return out
 
 
-_CUE, _FILLER_CUE = _automaton(CUES), _automaton(FILLER_CUES)
+_SCRIPT_CUE, _ERROR_CUE, _FILLER_CUE = _automaton(SCRIPT_CUES), _automaton(ERROR_CUES), _automaton(FILLER_CUES)
 
 
 def _has(automaton: ahocorasick.Automaton, text: str) -> bool:
@@ -150,9 +151,9 @@ def _has(automaton: ahocorasick.Automaton, text: str) -> bool:
 
 def _notice(sentence: str) -> bool:
     """Does the (masked) sentence belong to an error page or a script notice?"""
-    if not _has(_CUE, sentence.lower()):
-        return False
-    return bool(ERROR.search(sentence) or SCRIPT.search(sentence) or STATUS.match(sentence)) and not SUBJECT.search(sentence)
+    low = sentence.lower()
+    found = _has(_ERROR_CUE, low) and (ERROR.search(sentence) or STATUS.match(sentence)) or _has(_SCRIPT_CUE, low) and SCRIPT.search(sentence)
+    return bool(found) and not SUBJECT.search(sentence)
 
 
 _PUNCT = str.maketrans({c: " " for c in ".,;:!?()[]{}\"'“”„«»–—-_/|0123456789"})
@@ -160,32 +161,49 @@ _PUNCT = str.maketrans({c: " " for c in ".,;:!?()[]{}\"'“”„«»–—-_/|0
 
 def _filler(line: str) -> bool:
     low = line.lower()
-    words = low.translate(_PUNCT).split()
-    if len(words) >= 3:
-        kinds = set(words)
+    words = low.split()
+    # few words repeated begin with few letters, and filler Latin shows in its words: only such lines are looked at closely
+    if len({w[0] for w in words[:12]}) <= 5 or sum(map(LOREM.__contains__, words)) >= 0.3 * len(words):
+        words = low.translate(_PUNCT).split()
+        kinds = set(words) if len(words) >= 3 else frozenset("abcd")
         if len(kinds & LOREM) >= 2 and sum(w in LOREM for w in words) >= 0.75 * len(words):
             return True
         if len(kinds) <= min(3, max(1, len(words) // 3)) or len(words) >= 4 and len(kinds) <= 2:
             return True
-    if not words or len(line) >= 200 or not _has(_FILLER_CUE, low):
+    if len(line) >= 200 or not _has(_FILLER_CUE, low):
+        return False
+    words = low.translate(_PUNCT).split()
+    if not words:
         return False
     if len(words) >= 2 and len(MASH.findall(line)) >= max(2, 0.5 * len(line.split())):
         return True
     return FILLER.match(line.strip()) is not None
 
 
+#: how lines beside the content begin that hold no bar
+SIDE_STARTS = frozenset("cop bac ski go ret men hom pro abo con sea hel ter pri log imp sta".split()) | {"go "}
+
+
+def _side(line: str) -> bool:
+    """Is this a menu line or a notice beside the content?"""
+    low = line.lower()
+    return ("|" in line or low[:3] in SIDE_STARTS or "all rights" in low) and SIDE.search(line) is not None
+
+
 def page_lines(text: str) -> tuple[int, list[int]]:
     """How many known lines (errors, notices, filler) a text has, and its other content sentences as keys.
 
     Digits are masked.  Menu lines and a title in front do not count.
     """
     lines = [x.strip() for x in text.split("\n") if x.strip()]
-    lines = [x for x in lines if len(x) > 160 or not SIDE.search(x)]
+    lines = [x for x in lines if len(x) > 160 or not _side(x)]
     known, rest = 0, set()
     for k, line in enumerate(lines):
         masked = MASK.sub("0", line)
-        cue = _has(_CUE, line.lower())
-        if len(line) < 60 and cue and STATUS.match(masked) or _filler(line):
+        low = line.lower()
+        error = _has(_ERROR_CUE, low)
+        cue = error or _has(_SCRIPT_CUE, low)
+        if len(line) < 60 and error and STATUS.match(masked) or _filler(line):
             known += 1
             continue
         if k == 0 and len(lines) > 1 and len(line) < 90 and not re.search(r"[.!?…。:]\W*$|\.\.\.", line) and not (cue and _notice(masked)):
