@@ -220,16 +220,26 @@ PLAIN_TAIL = re.compile(r"^(.*[^\W\d_])\s+(\d{1,4})\s*$")
 DATED = re.compile(r"\d{4}-\d\d-\d\d|\d\d:\d\d|\b\d+\.\d+\.\d+|\b\d{1,2}\.\d{1,2}\.\d{4}")
 
 
+HAS_DIGIT, LAST_DIGIT, NO_LETTER = re.compile(r"\d"), re.compile(r"\d\W*\Z"), re.compile(r"[\W\d_]+")
+
+
+def tail_number(bare: str) -> re.Match | None:
+    """``TAIL_NUMBER`` at a line that ends with a digit; of others the long pattern would try every blank."""
+    return TAIL_NUMBER.match(bare) if LAST_DIGIT.search(bare) else None
+
+
 def numbered(bare: str) -> bool:
     """Is this line a page number, or does it begin or end with what may be one?"""
-    return bool(bare) and "||" not in bare and not bare.startswith(("|", "{|", "!")) and any(p.match(bare) for p in (NUMBER_LINE, LEAD_NUMBER, TAIL_NUMBER))
+    return bool(bare) and "||" not in bare and not bare.startswith(("|", "{|", "!")) and bool(NUMBER_LINE.match(bare) or LEAD_NUMBER.match(bare) or tail_number(bare))
 
 
 def _key(line: str) -> str:
     """Letters of a line without a page number at either end."""
     s = line.strip("\x0c \t")
-    s = m[2] if (m := LEAD_NUMBER.match(s)) else m[1] if (m := TAIL_NUMBER.match(s)) else s
-    return re.sub(r"[\W\d_]+", "", s.lower())
+    if not HAS_DIGIT.search(s):
+        return NO_LETTER.sub("", s.lower())
+    s = m[2] if (m := LEAD_NUMBER.match(s)) else m[1] if (m := tail_number(s)) else s
+    return NO_LETTER.sub("", s.lower())
 
 
 def line_features(lines: list[str], i: int, width: float, letters: Counter) -> list[float]:
@@ -238,7 +248,7 @@ def line_features(lines: list[str], i: int, width: float, letters: Counter) -> l
     prev = next((lines[k].strip() for k in range(i - 1, -1, -1)), "")
     nxt = lines[i + 1].strip("\x0c \t") if i + 1 < len(lines) else ""
     number = bool(NUMBER_LINE.match(bare)) and bool(bare)
-    lead, tail = LEAD_NUMBER.match(bare), TAIL_NUMBER.match(bare)
+    lead, tail = LEAD_NUMBER.match(bare), tail_number(bare)
     text = (lead[2] if lead else tail[1] if tail else bare).strip(" .")
     alpha = [c for c in text if c.isalpha()]
     caps = sum(c.isupper() for c in alpha) / max(1, len(alpha))
@@ -261,7 +271,7 @@ def header_features(lines: list[str], i: int, width: float, letters: Counter) ->
     above = next((x for k in range(i - 1, max(-1, i - 4), -1) if (x := lines[k].strip("\x0c \t"))), "")
     below = next((x for k in range(i + 1, min(len(lines), i + 4)) if (x := lines[k].strip("\x0c \t"))), "")
     number = bool(bare) and bool(NUMBER_LINE.match(bare))
-    lead, tail, plain = LEAD_NUMBER.match(bare), TAIL_NUMBER.match(bare), PLAIN_TAIL.match(bare)
+    lead, tail, plain = LEAD_NUMBER.match(bare), tail_number(bare), PLAIN_TAIL.match(bare)
     text = (lead[2] if lead else tail[1] if tail else bare).strip(" .")
     alpha = [c for c in text if c.isalpha()]
     caps = sum(c.isupper() for c in alpha) / max(1, len(alpha))
@@ -562,7 +572,7 @@ def _finish(s: str, known: Known, furnished: bool, broken: bool) -> tuple[str, l
     if SPACED.search(s):
         kinds.add("spaced")
         s = SPACED.sub(lambda m: m.group().replace(" ", ""), s)
-    if STRAY.search(s):
+    if (any(c in s for c in "|~¬^") or " . " in s) and STRAY.search(s):
         # bars and tildes of tables, menus and lists come in pairs or among few words
         parts = s.split("\n")
         for k, line in enumerate(parts):
@@ -591,7 +601,7 @@ def _finish(s: str, known: Known, furnished: bool, broken: bool) -> tuple[str, l
                 weak.add(core.lower())
             return w.replace(core, fixed, 1)
 
-        return WORD.sub(word, text)
+        return WORD.sub(word, text) if any(fix and safe == sure for _, fix, safe in known.values()) else text
 
     s = words(s, True)
     if strong or weak:
