@@ -61,6 +61,7 @@ LINE_END = re.compile(r"([-‐\u00ad¬])[ \t]*\n(?:[ \t]*\n)?[ \t\x0c]*([^\W\d_]
 HALF = re.compile(r"([^\W\d_]+)[-‐\u00ad¬][ \t]*$")
 FURNITURE_LINES = 4
 HYPHENS = "-‐­¬"
+HYPHENED = re.compile(r"\S*[-‐\u00ad¬](?!\S)")
 SPACED = re.compile(r"(?<![^\s(“\"])(?:[^\W\d_] ){3,}[^\W\d_](?![^\s.,;:!?)”\"])|(?<!\S)(?:[^\W\d_] )+- (?:[^\W\d_] )+[^\W\d_](?!\w)")
 STRAY = re.compile(r"(?<=[^\W\d_,]) [|~¬^] (?=[^\W\d_])|(?<=[^\W\d_,.;]) ?[|~^](?=\n|$)|(?<=[^\W\d_]) \. (?=[a-zà-ÿ])|(?<=[^\W\d_])¬(?=\s)")
 
@@ -80,13 +81,15 @@ def grams(word: str) -> list[str]:
 
 def forms_of(text: str) -> set[str]:
     """Distinct lower-case forms of a text without outer punctuation; broken words at line ends are left out."""
+    words = set(text.split())
+    if half := {w for w in words if w[-1] in HYPHENS}:
+        # such a word counts where it stands within a line
+        words -= half
+        words |= {m.group() for m in HYPHENED.finditer(text) if text[m.end() : m.end() + 2].strip(" \t")[:1] not in ("\n", "")}
     out = set()
-    for m in WORD.finditer(text):
-        w = m.group()
-        if w[-1] in HYPHENS and text[m.end() : m.end() + 2].strip(" \t")[:1] in ("\n", ""):
-            continue
+    for w in words:
         w = w.strip(EDGE).rstrip("!")
-        if len(w) > 2 and re.search(r"[^\W\d_]", w):
+        if len(w) > 2 and (w[0].isalpha() or any(map(str.isalpha, w))):
             out.add(w.lower())
     return out
 
