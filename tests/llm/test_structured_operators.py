@@ -117,13 +117,16 @@ def test_neighbours_recall_with_many_lists_and_a_hot_vector(spark):
     assert len({a for a, _ in got}) == 2700
 
 
-def test_centroid_graph_recall():
+def test_centroid_graph_recall(monkeypatch):
     rng = np.random.default_rng(3)
     c = K._unit(rng.normal(size=(2000, 24))).astype(np.float32)
     q = K._unit(rng.normal(size=(200, 24))).astype(np.float32)
+    dense, _ = K.CentroidGraph(c).search(q, 20)
+    monkeypatch.setattr(K, "DENSE", 0)
     idx, _ = K.CentroidGraph(c).search(q, 20)
     exact = np.argsort(-(q @ c.T), axis=1)[:, :20]
-    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(idx, exact)]) >= 0.9
+    for got in (idx, dense):
+        assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(got, exact)]) >= 0.9
 
 
 def test_two_levels_of_centroids_and_shelves():
