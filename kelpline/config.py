@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import tomllib
-from dataclasses import asdict, dataclass, field, fields, is_dataclass, replace
+from dataclasses import asdict, dataclass, field, fields, replace
 from pathlib import Path
 
 from .functions.embed import DEFAULT_MODEL
@@ -159,6 +159,3 @@ def scrub_model_cache(cache_dir: str | Path) -> list[str]:
             shutil.rmtree(folder, ignore_errors=True)
             gone.append(folder.name)
     return gone
-
-
-assert is_dataclass(Config)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import inspect
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -71,7 +71,7 @@ def recursive(text: str, chunk_size: int = 1532, overlap: int = 200) -> list[str
     return parts[:1] + [(before[-overlap:] + part)[:chunk_size] for before, part in zip(parts, parts[1:])]
 
 
-def merge_small_chunks(chunks: list[str], min_size: int, max_size: int | None = None) -> list[str]:
+def merge_small(chunks: list[str], min_size: int, max_size: int | None = None) -> list[str]:
     limit = 3 * min_size if max_size is None else max_size
     out: list[str] = []
     for c in chunks:
@@ -83,18 +83,17 @@ def merge_small_chunks(chunks: list[str], min_size: int, max_size: int | None =
 
 
 # -- Markdown ------------------------------------------------------------------------------------------
-@dataclass
-class Section:
+class Section(NamedTuple):
+    """A header's depth (0: text before any), its words, and the whole text up to the next header."""
+
     level: int
     title: str
-    content: str
-    start_pos: int
-    end_pos: int
+    body: str
 
 
 FRONT = re.compile(r"\A---\n(.*?)\n---\n", re.S)
-HEADER = re.compile(r"^(#{1,6})\s+(.+)$", re.M)
-FENCED = re.compile(r"```.*?```", re.S)
+#: a fenced block, whose lines are no headers, or the marks of a header (a fence may begin in its words)
+BLOCK = re.compile(r"(?s:```.*?```)|^(#{1,6})\s+(?=(.+)$)", re.M)
 
 
 def front_matter(text: str) -> tuple[str, str]:
@@ -104,26 +103,22 @@ def front_matter(text: str) -> tuple[str, str]:
 
 
 def sections(text: str) -> list[Section]:
-    if not text.strip():
-        return []
-    fences = [m.span() for m in FENCED.finditer(text)]
-    heads = [m for m in HEADER.finditer(text) if not any(a <= m.start() < b for a, b in fences)]
-    if not heads:
-        return [Section(0, "", text, 0, len(text))]
-    out = []
-    if text[: heads[0].start()].strip():
-        out.append(Section(0, "", text[: heads[0].start()].strip(), 0, heads[0].start()))
-    ends = [h.start() for h in heads[1:]] + [len(text)]
-    out += [Section(len(h[1]), h[2].strip(), text[h.start() : e].strip(), h.start(), e) for h, e in zip(heads, ends)]
-    return out
+    """The text cut at its headers, in one pass over headers and fences; without headers it is one section as it stands."""
+    out, begun, said, level, title = [], 0, 0, 0, ""
+    for m in BLOCK.finditer(text):
+        if m[1] and m.start() >= said:  # the words of a header may stand on the next line and look like one
+            out.append(Section(level, title, text[begun : m.start()].strip()))
+            begun, said, level, title = m.start(), m.end(2), len(m[1]), m[2].strip()
+    out.append(Section(level, title, text[begun:].strip() if level else text))
+    return [s for s in out if s.level or s.body.strip()]
 
 
 def merge_sections(found: list[Section], size: int, least: int) -> list[Section]:
     """A small section takes in the next one while both fit; it keeps its own level and title."""
     out: list[Section] = []
     for s in found:
-        if out and len(out[-1].content) < least and len(out[-1].content) + 2 + len(s.content) <= size:
-            out[-1] = Section(out[-1].level, out[-1].title, out[-1].content + "\n\n" + s.content, out[-1].start_pos, s.end_pos)
+        if out and len(out[-1].body) < least and len(out[-1].body) + 2 + len(s.body) <= size:
+            out[-1] = out[-1]._replace(body=f"{out[-1].body}\n\n{s.body}")
         else:
             out.append(s)
     return out
@@ -151,12 +146,12 @@ def markdown(text: str, chunk_size: int = 1500, overlap: int = 100, min_section_
     out = [front] if front else []
     merged = merge_sections(found, chunk_size, min_section_size)
     for i, s in enumerate(merged):
-        if len(s.content) <= chunk_size:
-            out += [s.content] if s.content.strip() else []
+        if len(s.body) <= chunk_size:
+            out += [s.body] if s.body.strip() else []
             continue
         trail = breadcrumb(merged, i)
         prefix = f"[Context: {trail}]\n\n" if trail else ""
-        for j, part in enumerate(recursive(s.content, chunk_size, overlap)):
+        for j, part in enumerate(recursive(s.body, chunk_size, overlap)):
             out.append(prefix + part if j and len(prefix) + len(part) <= chunk_size else part)
     return out
 

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import image_point_id, point_id
 
-EMPTY = F.create_map
-
 
 def _text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))

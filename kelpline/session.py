@@ -50,6 +50,12 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL[app]
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate results that this application wrote to the shared folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/kelpline/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

@@ -83,9 +83,6 @@ class _Text:
     def span(self, pair) -> str | None:
         return None if pair is None else self.text[pair[0] : pair[1]]
 
-    def before(self, at: int) -> str:
-        return self.text[:at]
-
 
 def _php_doc(text: str, at: int) -> str | None:
     """The nearest ``/** */`` block above, with only blanks and attributes between."""

@@ -46,7 +46,7 @@ def test_windows_cover_the_text(text, size, overlap):
 
 
 def test_merge_small(spark):
-    assert C.merge_small_chunks(["a", "b", "c" * 10, "d"], 3) == ["a\n\nb", "c" * 10, "d"]
+    assert C.merge_small(["a", "b", "c" * 10, "d"], 3) == ["a\n\nb", "c" * 10, "d"]
     got = spark.sql("SELECT array('a', 'b', 'cccccccccc', 'd') AS c").select(X.merge_small(F.col("c"), 3).alias("m")).first()[0]
     assert got == ["a\n\nb", "c" * 10, "d"]
 

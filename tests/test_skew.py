@@ -13,3 +13,15 @@ def test_salted_join_equals_join(spark):
     assert salted_join(left.limit(0), right, ["k"], "inner", by="i").isEmpty() and salted_join(left, right.limit(0), ["k"], "left_anti", by="i").count() == 301
     with pytest.raises(ValueError):
         salted_join(left, right, ["k"], "full_outer", by="i")
+
+
+def test_release_deletes_what_was_materialized(spark):
+    import os
+
+    from kelpline.session import materialize, release, shared_dir
+
+    materialize(spark.range(3), "gone").count()
+    folder = f"{shared_dir(spark).removeprefix('file://')}/kelpline/{spark.sparkContext.applicationId}"
+    assert os.path.isdir(folder)
+    release(spark)
+    assert not os.path.exists(folder)
