@@ -62,10 +62,15 @@ def sync_summary(classified: DataFrame, failed: DataFrame | None = None) -> Data
 
 
 def index_summary(chunks: DataFrame, failed: DataFrame, skipped: int = 0) -> DataFrame:
-    """One row: total_files (0 if no chunk came out), total_chunks, failed_files, skipped_files."""
-    totals = chunks.agg(F.count_distinct("source").alias("total_files"), F.count(F.lit(1)).alias("total_chunks"))
-    bad = failed.agg(F.array_sort(F.collect_set("source")).alias("failed_files"))
-    return totals.join(F.broadcast(bad)).withColumn("skipped_files", F.lit(skipped))
+    """One row: total_files (0 if no chunk came out), total_chunks, failed_files, skipped_files.
+
+    The list of failed files is the report itself; it is as long as there are failed files.
+    """
+    none = F.lit(None).cast("string")
+    rows = chunks.select("source", none.alias("bad")).unionByName(failed.select(none.alias("source"), F.col("source").alias("bad")))
+    return rows.agg(
+        F.count_distinct("source").alias("total_files"), F.count("source").alias("total_chunks"), F.array_sort(F.collect_set("bad")).alias("failed_files"), F.lit(skipped).alias("skipped_files")
+    )
 
 
 def status_report(classified: DataFrame) -> DataFrame:

@@ -392,9 +392,14 @@ def sync_classify(spark, d):
     return _classified(spark, d).select("path", "status", F.coalesce("touched", F.lit(False)).alias("touched"))
 
 
-@query(f"SELECT count(*) FILTER (WHERE status = 'new') AS added, count(*) FILTER (WHERE status = 'modified') AS updated, count(*) FILTER (WHERE status = 'deleted') AS deleted, count(*) FILTER (WHERE status = 'unchanged') AS unchanged FROM ({_CLASSES})")
+@query(f"""
+    SELECT count(*) FILTER (WHERE status = 'new' AND NOT bad) AS added, count(*) FILTER (WHERE status = 'modified' AND NOT bad) AS updated, count(*) FILTER (WHERE status = 'deleted') AS deleted,
+        count(*) FILTER (WHERE status = 'unchanged') AS unchanged, coalesce(list(path ORDER BY path) FILTER (WHERE bad), []) AS failed
+    FROM (SELECT path, status, path IN (SELECT source_path FROM documents WHERE error IS NOT NULL) AS bad FROM ({_CLASSES}))
+""")
 def sync_counts(spark, d):
-    return sync.sync_summary(_classified(spark, d)).drop("failed")
+    failed = table(spark, d, "documents").where("error IS NOT NULL").select(F.col("source_path").alias("path"))
+    return sync.sync_summary(_classified(spark, d), failed)
 
 
 @query(f"SELECT status, count(*) AS files FROM ({_CLASSES}) GROUP BY status")
@@ -428,11 +433,11 @@ def sync_tracked_only(spark, d):
     return state.join(now.select(F.col("key").alias("path")), "path", "left_anti").select("path", F.lit("tracked only").alias("status"))
 
 
-@query(f"SELECT count(DISTINCT source_path) AS total_files, count(*) AS total_chunks, 0 AS skipped_files FROM ({_CHUNKS})")
+@query(f"SELECT count(DISTINCT source_path) AS total_files, count(*) AS total_chunks, coalesce((SELECT list(DISTINCT source_path ORDER BY source_path) FROM documents WHERE error IS NOT NULL), []) AS failed_files, 7 AS skipped_files FROM ({_CHUNKS})")
 def index_totals(spark, d):
     docs = table(spark, d, "documents").select(F.col("source_path").alias("source"), text.fixed_chunks(F.col("text"), 1536, 50).alias("chunks"))
     failed = table(spark, d, "documents").where("error IS NOT NULL").select(F.col("source_path").alias("source"))
-    return sync.index_summary(payloads.explode_chunks(docs), failed).drop("failed_files")
+    return sync.index_summary(payloads.explode_chunks(docs), failed, 7)
 
 
 @query(f"SELECT source_path AS source, list({IDSQL.format("source_path || '-' || i")} ORDER BY i) AS chunk_ids FROM ({_CHUNKS}) GROUP BY source_path")

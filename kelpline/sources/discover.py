@@ -78,7 +78,7 @@ def scan(spark: SparkSession, directory: str, patterns: Iterable[str] = DEFAULT_
     base = os.path.abspath(directory)
     tops = sorted(e.name for e in os.scandir(base) if e.is_dir()) if os.path.isdir(base) else []
     # one task per top-level folder; files directly below the root belong to the task ''
-    jobs = spark.createDataFrame([(t,) for t in ["", *tops]], "top string").repartition(slices or min(max(1, len(tops)), 64))
+    jobs = spark.createDataFrame([(t,) for t in ["", *tops]], "top string").repartition(slices or max(1, len(tops)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["k", "source", "resolved", "rel_path", "filename", "extension", "size", "mtime"]
